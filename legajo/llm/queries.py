@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from legajo.functions.session import table
 from legajo.llm.confusables import keyword_matches, same_looking, with_visible_form
 from legajo.llm.repeated_lines import repeated_lines, without_repeated_lines
+from legajo.llm.scans import ScanRepair
 from legajo.llm.sentences import fit_on, sentences
 from legajo.llm.splitting import oversized_chunks, split_oversized
 
@@ -47,6 +48,19 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(chunks, fit_on(_flowing(spark, sf_dir)), soft_lines="scanned").distinct()
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> ScanRepair:
+    chunks = table(spark, sf_dir, "processed_chunk").where("channel = 'pdf_scan'")
+    return ScanRepair(chunks.select("chunk_id", F.col("provenance.source_document").alias("source"), F.col("metadata.chunk_index").alias("chunk_index"), "content", F.col("page_anchors").alias("anchors")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).found()
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).paragraphs()
+
+
 def _portal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "processed_chunk").where("channel = 'portal'").select("chunk_id", F.col("provenance.source_document").alias("source"), "content")
 
@@ -59,7 +73,7 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(_portal(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
