@@ -10,6 +10,7 @@ from legajo.llm.confusables import keyword_matches, same_looking, with_visible_f
 from legajo.llm.repeated_lines import repeated_lines, without_repeated_lines
 from legajo.llm.scans import ScanRepair
 from legajo.llm.sentences import fit_on, sentences
+from legajo.llm.stuffing import spam_shares, stuffed_pages
 from legajo.llm.splitting import oversized_chunks, split_oversized
 
 
@@ -73,7 +74,15 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(_portal(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_shares(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p10_found": p10_found, "p10_shares": p10_shares}
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
