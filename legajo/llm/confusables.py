@@ -80,7 +80,8 @@ class _Simple(dict):
 
 
 _SIMPLE = _Simple()
-_TOKEN = regex.compile(r"[\p{L}\p{M}]*[" + "".join(_TO_LATIN) + r"][\p{L}\p{M}]*")
+_TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_LOOK_ALIKES = frozenset(_TO_LATIN)
 
 
 def _changes(ch: str) -> bool:
@@ -121,7 +122,7 @@ def respell(token: str) -> str:
 @lru_cache(maxsize=100_000)
 def _piece_form(piece: str) -> str:
     folded = unicodedata.normalize("NFD", piece).translate(_SIMPLE)
-    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: respell(m[0]), folded))
+    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: m[0] if _LOOK_ALIKES.isdisjoint(m[0]) else respell(m[0]), folded))
 
 
 def visible_form(text: str | None) -> str | None:

@@ -38,10 +38,11 @@ MAY_END = frozenset("etc cía cia ltda s.a s.a.s e.s.p inc corp ltd co u.s a.m p
 _CLOSE = "\"'»”’」』）)\\]"
 _THAI = "\u0e00-\u0e7f"
 _NODE = re.compile(
-    f"(?P<stop>[.!?…؟।॥]+(?:[{_CLOSE}]|[ \u00a0\u202f]»)*(?=\\s|$)|[。！？][。！？…]*[{_CLOSE}]*|…+[{_CLOSE}]*(?=[\u3000-\u9fff]))|(?P<line>\\s*\\n\\s*)|(?P<gap>(?<=[{_THAI}])[^\\S\\n]+(?=[{_THAI}0-9])|(?<=[0-9])[^\\S\\n]+(?=[{_THAI}]))"
+    f"(?P<stop>[.!?…؟।॥]+(?:[{_CLOSE}]|[ \u00a0\u202f]»)*(?=\\s|$)|[。！？][。！？…]*[{_CLOSE}]*|…+[{_CLOSE}]*(?=[\u3000-\u9fff]))|(?P<line>\\n\\s*)|(?P<gap>(?<=[{_THAI}])[^\\S\\n]+(?=[{_THAI}0-9])|(?<=[0-9])[^\\S\\n]+(?=[{_THAI}]))"
 )
 _LAST = re.compile(r"\S+\Z")
 _FIRST = re.compile(r"\S+")
+_PARAGRAPH_END = re.compile(r"[^\S\n]*(?:\n|\Z)")
 _OPENERS = "\"'«“‘「『（([¿¡—-"
 _QUOTE_END = "\"»”’」』"
 _PAIRS = {"»": "«", "”": "“", "’": "‘", "」": "「", "』": "『", '"': '"'}
@@ -57,7 +58,7 @@ class Model:
     prior: float = 1.5
     gap_prior: float = 1.2
     #: transition: two boundaries with at most one token between them
-    short: float = -1.5
+    short: float = -0.75
     floor: float = -6.0
 
 
@@ -123,7 +124,7 @@ def fit(texts: list[str]) -> Model:
         for node in _NODE.finditer(text + "\n"):
             if node.lastgroup == "stop":
                 if node[0][0] == ".":
-                    closing = text[node.end() :].lstrip(" ")[:1] in ("", "\n")
+                    closing = _PARAGRAPH_END.match(text, node.end()) is not None
                     kind = first_class(text, node.end())
                     if closing or kind in ("UPPER", "OPEN", "DIGIT", "LETTER"):
                         key = last_key(text, node.start())
@@ -134,7 +135,7 @@ def fit(texts: list[str]) -> Model:
                 seen[last] += 1
                 met[first] += 1
             elif re.search(f"[{_THAI}]", text[max(0, node.start() - 12) : node.start()]):
-                last, _ = gap_keys(text, node.start(), node.end())
+                last, _ = gap_keys(text, len(text[: node.start()].rstrip()), node.end())
                 seen[last] += 1
                 ends[last] += 1
                 if node.end() < len(text):
@@ -210,7 +211,7 @@ def sentence_ends(text: str, model: Model, soft_lines: bool = False) -> list[int
         if node.lastgroup == "line":
             if soft_lines and node[0].count("\n") < 2:
                 continue
-            end, score = node.start(), math.inf
+            end, score = len(text[paragraph : node.start()].rstrip()) + paragraph, math.inf
             paragraph = node.end()
         else:
             end = node.start() if node.lastgroup == "gap" else node.end()

@@ -37,8 +37,8 @@ FUNCTION_WORDS = {
 _BY_WORD = {w: {lang for lang, words in FUNCTION_WORDS.items() if w in words} for words in FUNCTION_WORDS.values() for w in words}
 BINS = 20
 
-_ANCHOR = re.compile(r"<a\b[^>]*>.*?(?:</a>|$)(?:\s*<br\s*/?>)?", re.IGNORECASE | re.DOTALL)
-_URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,8})/\S*|\[[^\]]*\]\([^)]*\)", re.IGNORECASE)
+_ANCHOR = re.compile(r"<a\b[^>]{0,2000}>.*?(?:</a>|$)(?:\s*<br\s*/?>)?", re.IGNORECASE | re.DOTALL)
+_URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.(?:[a-z]{2,8})/\S*|\[[^\]]{0,200}\]\([^)]{0,2000}\)", re.IGNORECASE)
 _CLAUSE = re.compile(r"[^\n,;|/•·!?.。！？；，、»>]*(?:\.(?=\S)[^\n,;|/•·!?.。！？；，、»>]*)*[\n,;|/•·!?.。！？；，、»>]*\s*")
 _DASH = re.compile(r"\s[-–—]\s")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -115,7 +115,8 @@ def profile(text: str) -> tuple[str, float, int, int, list[int]]:
             continue
         digits = sum(c.isdigit() for c in piece)
         same = items[" ".join(words)]
-        if in_run or same >= max(4.0, 0.08 * units) and len(words) <= 4 and not digits or _PRICE.search(piece) and not any(w in function for w in words) and any(w in priced for w in words):
+        short = len(words) <= 4 and not digits and (language != "other" or size <= 12 and piece.rstrip()[-1:] not in ".!?。！？।")
+        if in_run or short and same >= max(4.0, 0.08 * units) or _PRICE.search(piece) and not any(w in function for w in words) and any(w in priced for w in words):
             sure += size
             continue
         real = _function_places(own, words, function)
