@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.functions.session import ensure_checkpoint_dir, table
-from legajo.operators import chunking, graphs, lineage
-from legajo.operators.vectors import top_similar
+from legajo.functions.expressions import column_of
+from legajo.operators import chunking, folds, graphs, lineage, transport
+from legajo.operators.learning import adaptive_scores
+from legajo.operators.vectors import cell_search, maximum_mean_discrepancy, top_similar
 from legajo.sources import files
 from legajo.streaming import metrics
 
@@ -68,7 +70,96 @@ def s13_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).groupBy("dimension").agg(F.count("*").alias("n"), F.sum(F.length("question_text")).alias("chars"))
 
 
+def r6_cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return cell_search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("ts is not null")
+    return events.select("event_id", "user_id", "event_type", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+
+
+def h6_chained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.chained_hashes(_timed(spark, sf_dir), "user_id", ["seconds", "event_id"], ["event_id", "event_type"]).select("event_id", "event_hash")
+
+
+def m8_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.rate_limited(_timed(spark, sf_dir).where("value > 20"), "event_type", "seconds", 5).select("event_id", "emitted")
+
+
+def m17_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _timed(spark, sf_dir).withColumn("failed", F.coalesce(F.col("value") > 15, F.lit(False)))
+    return folds.circuit_states(calls, "user_id", ["seconds", "event_id"], "seconds", "failed", 2, 3600.0).select("event_id", "state")
+
+
+def e10_submodular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_discount", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("item"))
+    return folds.submodular_choice(items, "l_orderkey", "l_returnflag", "l_discount", "item", 3)
+
+
+def h22_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = column_of("0 < o_totalprice / 1000 <= 150 and not (o_custkey % 2 == 0)", {"o_totalprice", "o_custkey"})
+    return table(spark, sf_dir, "orders").select("o_orderkey", rule.alias("holds"))
+
+
+def p12_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("old"), "o_totalprice")
+    return maximum_mean_discrepancy(orders, "old", "o_totalprice")
+
+
+def a47_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"), F.avg("l_discount").alias("discount"), F.sum("l_extendedprice").alias("price"))
+    return adaptive_scores(rows, "l_orderkey", ["quantity", "n", "discount"], "price")
+
+
+def o1_region_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gromov-Wasserstein plans between the nations of each region and those of the first, by distance of key: a region has few nations."""
+    import numpy as np
+
+    nation = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").where("n_nationkey is not null and n_regionkey is not null")
+
+    def align(pdf):  # noqa: ANN001, ANN202
+        keys = pdf["n_nationkey"].sort_values().to_numpy(dtype=float)
+        n = len(keys)
+        own = np.abs(keys[:, None] - keys[None]) / 25
+        base = np.abs(np.arange(n)[:, None] - np.arange(n)[None]) / max(1, n)
+        plan, _ = transport.gromov_wasserstein(own, base, np.full(n, 1 / n), np.full(n, 1 / n), 0.01)
+        i, j = np.nonzero(plan > 1e-6)
+        return pdf.__class__({"region": int(pdf["n_regionkey"].iloc[0]), "nation": keys[i].astype(int), "place": j, "mass": np.round(plan[i, j], 6)})
+
+    return nation.groupBy("n_regionkey").applyInPandas(align, "region int, nation int, place int, mass double")
+
+
+def s12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/artifacts-{uuid.uuid4().hex}"
+    files.write_jsonl(table(spark, sf_dir, "keyword_lexicon"), path)
+    found = files.file_manifest(spark, path).where(F.col("path").endswith(".json"))
+    return files.verify_manifest(found, found).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def s19_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/levels-{uuid.uuid4().hex}"
+    mapping = table(spark, sf_dir, "question_mapping")
+    rows = mapping.select(F.lit("question").alias("level"), F.col("mapping_id").alias("id")).unionByName(mapping.select(F.lit("dimension").alias("level"), F.col("dimension").alias("id")).where("id is not null").distinct())
+    files.write_jsonl(rows, path, ["level"])
+    return spark.read.json(path).groupBy("level").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "r6_cell_search": r6_cell_search,
+    "h6_chained_log": h6_chained_log,
+    "m8_rate_limit": m8_rate_limit,
+    "m17_circuit": m17_circuit,
+    "e10_submodular": e10_submodular,
+    "h22_expression": h22_expression,
+    "p12_mmd": p12_mmd,
+    "a47_adaptive": a47_adaptive,
+    "o1_region_alignment": o1_region_alignment,
+    "s12_manifest": s12_manifest,
+    "s19_levels": s19_levels,
     "r5_vector_search": r5_vector_search,
     "c1_sentence_chunks": _chunks(chunking.sentence_chunks),
     "c2_paragraph_chunks": _chunks(chunking.paragraph_chunks),
@@ -88,6 +179,8 @@ QUERIES = {
 
 _EDGES = "e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation))"
 ORACLES = {
+    "h22_expression": "SELECT o_orderkey, 0 < o_totalprice / 1000 AND o_totalprice / 1000 <= 150 AND NOT (o_custkey % 2 = 0) AS holds FROM orders",
+    "s19_levels": "SELECT 'question' AS level, count(*) AS n FROM question_mapping UNION ALL SELECT 'dimension', count(DISTINCT dimension) FROM question_mapping",
     "r5_vector_search": """SELECT query_id, vec_id, score, place FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (
         SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE score > 0) WHERE place <= 10""",
     "g1_simple_paths": f"WITH RECURSIVE {_EDGES}, p AS (SELECT [a, b] AS path FROM e WHERE a <> b UNION ALL SELECT list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 5) SELECT array_to_string(path, '>') AS path FROM p",
