@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, object]], name: str, kind: str) -> DataFrame:
@@ -18,7 +19,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[],
     through Python with the state of the present key alone, so that a key of any
     size needs little memory (its rows stay one sequence, as the semantics ask).
     """
-    schema = df.schema.add(name, kind)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType() if kind == "string" else T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, present, begun = None, None, False
@@ -84,13 +85,11 @@ def submodular_choice(evidence: DataFrame, key: str, group: str, score: str, row
     ``budget`` best groups of a key can be chosen; each key is first cut to these,
     exactly, and the rounds run on at most ``budget`` squared rows.
     """
-    rows = evidence.select(key, group, F.col(score).cast("double").alias(score), row_id)
-    best = Window.partitionBy(key, group).orderBy(F.desc(score), row_id)
-    few = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= budget)
-    heads = Window.partitionBy(key).orderBy(F.desc(score), row_id)
-    chosen = few.where("r = 1").withColumn("g", F.row_number().over(heads)).where(F.col("g") <= budget).select(F.col(key).alias("k_"), F.col(group).alias("g_"))
-    few = few.join(chosen, F.col(key).eqNullSafe(F.col("k_")) & F.col(group).eqNullSafe(F.col("g_")), "left_semi")
-    packed = few.groupBy(key).agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col(score).alias("s"), F.col(row_id).alias("i"))).alias("rows"))
+    rows = evidence.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(row_id).alias("i"))
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("k", "g").orderBy(F.desc("s"), "i"))).where(F.col("r") <= budget)
+    heads = few.where("r = 1").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "i"))).where(F.col("place") <= budget)
+    few = few.join(heads.select(F.col("k").alias("h_k"), F.col("g").alias("h_g")), F.col("k").eqNullSafe(F.col("h_k")) & F.col("g").eqNullSafe(F.col("h_g")), "left_semi")
+    packed = few.groupBy("k").agg(F.collect_list(F.struct("g", "s", "i")).alias("rows"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -107,4 +106,4 @@ def submodular_choice(evidence: DataFrame, key: str, group: str, score: str, row
             yield pa.RecordBatch.from_arrays([pa.array(out[0], part.schema.field(0).type), pa.array(out[1], part.schema.field(1).type.value_type.field("i").type), pa.array(out[2], pa.int32())], names=[key, row_id, "place"])
 
     kinds = dict(few.dtypes)
-    return packed.mapInArrow(choose, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, place int")
+    return packed.mapInArrow(choose, f"{key} {kinds['k']}, {row_id} {kinds['i']}, place int")

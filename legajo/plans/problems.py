@@ -42,8 +42,8 @@ ORACLES = {
         WITH RECURSIVE c AS (SELECT code, unnest(dependencies) AS entry, unnest(range(len(dependencies))) AS pos FROM pipeline_index WHERE code IS NOT NULL),
         k AS (SELECT {_KEY.format("code")} AS key, min(code) AS target FROM pipeline_index WHERE code IS NOT NULL GROUP BY 1),
         p AS (SELECT code, arg_min(target, struct_pack(pos := pos, target := target)) AS parent FROM c JOIN k ON {_KEY.format("entry")} = key WHERE key <> '' GROUP BY code),
-        w AS (SELECT DISTINCT code, code AS at, [code] AS path FROM pipeline_index WHERE code IS NOT NULL
-              UNION ALL SELECT w.code, p.parent, list_append(path, p.parent) FROM w JOIN p ON w.at = p.code WHERE len(list_distinct(path)) = len(path))
-        SELECT code, at AS root_code, CAST(len(path) - 1 AS INTEGER) AS tree_depth FROM w WHERE len(list_distinct(path)) = len(path) AND at NOT IN (SELECT code FROM p)
-        UNION ALL SELECT code, list_min(path[list_position(path, at):]) AS root_code, -1 AS tree_depth FROM w WHERE len(list_distinct(path)) < len(path)""",
+        w AS (SELECT DISTINCT code, code AS here, [code] AS path FROM pipeline_index WHERE code IS NOT NULL
+              UNION ALL SELECT w.code, p.parent, list_append(path, p.parent) FROM w JOIN p ON w.here = p.code WHERE len(list_distinct(path)) = len(path))
+        SELECT code, here AS root_code, CAST(len(path) - 1 AS INTEGER) AS tree_depth FROM w WHERE len(list_distinct(path)) = len(path) AND here NOT IN (SELECT code FROM p)
+        UNION ALL SELECT code, list_min(path[list_position(path, here):]) AS root_code, -1 AS tree_depth FROM w WHERE len(list_distinct(path)) < len(path)""",
 }
