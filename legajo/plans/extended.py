@@ -42,11 +42,11 @@ SHARED = {
     "a56_answer_confidence": f"WITH {_EVIDENCE}, c AS (SELECT question_id, greatest(0.0, least(1.0, 0.1 + 0.25 * least(1.0, count(*) / 5.0) + 0.2 * avg(relevance) + 0.15 * (1 - least(1.0, coalesce(var_samp(relevance), 0.0))) + 0.15 * avg(credibility) + 0.1 * avg(authority))) AS c FROM evidence GROUP BY question_id) SELECT question_id, round(c, 6) AS confidence, round(greatest(0.0, c - 0.1), 6) AS low, round(least(1.0, c + 0.1), 6) AS high FROM c",
     "a59_uniqueness": "WITH k AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS made FROM {lineitem}), u AS (SELECT node, made, count(*) OVER (PARTITION BY made) AS makers FROM k) SELECT node, round(count_if(makers = 1) / CAST(count(*) AS DOUBLE), 6) AS uniqueness FROM u GROUP BY node",
     "o4_fused_cost": "SELECT s, n, round(0.5 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.5 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) AS cost FROM (SELECT s_suppkey AS s, n_nationkey AS n, CAST(abs(s_nationkey - n_nationkey) AS DOUBLE) AS a, abs(s_acctbal - n_nationkey * 100) AS b FROM {supplier} CROSS JOIN {nation})",
-    "p15_leave_one_out": f"WITH {_PAIRS}, l AS (SELECT kind, ((sum(truth) OVER p) - truth) / ((count(*) OVER p) - 1) AS loo, avg(truth) OVER p AS whole FROM pairs WINDOW p AS (PARTITION BY kind)) SELECT kind, round(max(whole) + MEDIAN_AT(loo - whole, 0.05), 9) AS low, round(max(whole) + MEDIAN_AT(loo - whole, 0.95), 9) AS high FROM l GROUP BY kind",
-    "p16_certificates": f"WITH {_PAIRS} SELECT kind, CAST(count(*) AS BIGINT) AS n, round(avg(abs(truth - predicted)), 6) AS risk, avg(abs(truth - predicted)) + sqrt(ln(20) / (2 * count(*))) <= 0.5 AS valid FROM pairs GROUP BY kind",
-    "p18_penalised": f"WITH {_POINTS} SELECT document, round(greatest(0.0, avg(score) - 0.1 * count_if(score < 0.25) - 0.05 * (4 - max(dimensions))), 6) AS predicted FROM points GROUP BY document",
-    "p9_prediction_sets": f"WITH {_SCORED}, c AS (SELECT document, dimension, avg(1 - score) AS s FROM scored GROUP BY document, dimension), m AS (SELECT document, dimension, s, min(s) OVER (PARTITION BY document) AS best FROM c) SELECT document, dimension FROM m WHERE round(s, 9) <= 0.4 OR s = best",
-    "p21_bridge_effect": "WITH b AS (SELECT floor(l_discount * 50) AS proxy, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS treated, l_quantity AS y FROM {lineitem}), g AS (SELECT proxy, avg(CASE WHEN treated = 1 THEN y END) - avg(CASE WHEN treated = 0 THEN y END) AS effect, count(*) AS n FROM b GROUP BY proxy) SELECT round(sum(effect * n) / sum(n), 6) AS effect FROM g",
+    "stat_p15_leave_one_out": f"WITH {_PAIRS}, l AS (SELECT kind, ((sum(truth) OVER p) - truth) / ((count(*) OVER p) - 1) AS loo, avg(truth) OVER p AS whole FROM pairs WINDOW p AS (PARTITION BY kind)) SELECT kind, round(max(whole) + MEDIAN_AT(loo - whole, 0.05), 9) AS low, round(max(whole) + MEDIAN_AT(loo - whole, 0.95), 9) AS high FROM l GROUP BY kind",
+    "stat_p16_certificates": f"WITH {_PAIRS} SELECT kind, CAST(count(*) AS BIGINT) AS n, round(avg(abs(truth - predicted)), 6) AS risk, avg(abs(truth - predicted)) + sqrt(ln(20) / (2 * count(*))) <= 0.5 AS valid FROM pairs GROUP BY kind",
+    "stat_p18_penalised": f"WITH {_POINTS} SELECT document, round(greatest(0.0, avg(score) - 0.1 * count_if(score < 0.25) - 0.05 * (4 - max(dimensions))), 6) AS predicted FROM points GROUP BY document",
+    "stat_p9_prediction_sets": f"WITH {_SCORED}, c AS (SELECT document, dimension, avg(1 - score) AS s FROM scored GROUP BY document, dimension), m AS (SELECT document, dimension, s, min(s) OVER (PARTITION BY document) AS best FROM c) SELECT document, dimension FROM m WHERE round(s, 9) <= 0.4 OR s = best",
+    "stat_p21_bridge_effect": "WITH b AS (SELECT floor(l_discount * 50) AS proxy, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS treated, l_quantity AS y FROM {lineitem}), g AS (SELECT proxy, avg(CASE WHEN treated = 1 THEN y END) - avg(CASE WHEN treated = 0 THEN y END) AS effect, count(*) AS n FROM b GROUP BY proxy) SELECT round(sum(effect * n) / sum(n), 6) AS effect FROM g",
     "g9_adjustment": f"WITH {_LINKS}, k AS (SELECT a, b FROM links WHERE round(confidence, 9) >= 0.5) SELECT DISTINCT a AS node FROM k WHERE b = 7 EXCEPT SELECT b FROM k WHERE a = 7",
     "g10_effect": f"WITH {_LINKS}, k AS (SELECT a, b, confidence AS c FROM links WHERE round(confidence, 9) >= 0.5) SELECT x.a, y.b, round(max(x.c * y.c), 6) AS strongest, round(sum(0.9 * x.c * y.c), 6) AS decayed FROM k x JOIN k y ON x.b = y.a WHERE x.a <> y.b GROUP BY x.a, y.b",
     "g11_counterfactual": f"WITH {_LINKS}, k AS (SELECT a, b FROM links WHERE round(confidence, 9) >= 0.5 AND b <> 7) SELECT DISTINCT x.a, y.b FROM k x JOIN k y ON x.b = y.a",

@@ -155,7 +155,7 @@ QUERIES = {
     "m17_circuit": m17_circuit,
     "e10_submodular": e10_submodular,
     "h22_expression": h22_expression,
-    "p12_mmd": p12_mmd,
+    "stat_p12_mmd": p12_mmd,
     "a47_adaptive": a47_adaptive,
     "o1_region_alignment": o1_region_alignment,
     "s12_manifest": s12_manifest,

@@ -13,26 +13,26 @@ _LINKS = "links AS (SELECT l_suppkey AS a, l_partkey % 50 + 1 AS b, avg(l_discou
 _METRICS = "m AS (SELECT event_id, ts, user_id, event_type, coalesce(value, 0) AS value FROM {events} WHERE ts IS NOT NULL)"
 
 SHARED = {
-    "p1_nonconformity": f"WITH {_PAIRS} SELECT id, round(abs(truth - predicted), 6) AS absolute, round(abs(truth - predicted) / (0.01 + predicted), 6) AS normalised FROM pairs",
-    "p2_conformal_quantile": f"WITH {_Q} SELECT kind, round(q90, 6) AS q90, round(q95, 6) AS q95 FROM q",
-    "p3_intervals": f"WITH {_Q} SELECT id, round(greatest(0.0, predicted - q90), 6) AS low, round(least(1.0, predicted + q90), 6) AS high FROM pairs JOIN q ON pairs.kind = q.kind",
-    "p4_coverage": f"WITH {_Q} SELECT q.kind, round(avg(CASE WHEN abs(truth - predicted) <= q90 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(least(1.0, predicted + q90) - greatest(0.0, predicted - q90)), 6) AS width FROM pairs JOIN q ON pairs.kind = q.kind GROUP BY q.kind",
-    "p6_regression_scorers": f"WITH {_PAIRS} SELECT kind, round(avg(abs(truth - predicted)), 6) AS absolute, round(avg(power(truth - predicted, 2)), 6) AS squared, round(avg(greatest(0.9 * (truth - predicted), -0.1 * (truth - predicted))), 6) AS pinball, round(stddev_pop(truth - predicted), 6) AS scale FROM pairs GROUP BY kind",
-    "p8_quantile_levels": f"WITH {_PAIRS} SELECT kind, round(MEDIAN_AT(abs(truth - predicted), 0.9), 6) AS interpolated, round(avg(abs(truth - predicted)) + 1.645 * stddev_pop(abs(truth - predicted)), 6) AS normal FROM pairs GROUP BY kind",
-    "p10_risk_bounds": f"WITH {_PAIRS} SELECT kind, round(avg(abs(truth - predicted)) + sqrt(ln(20) / (2 * count(*))), 6) AS hoeffding, round(avg(abs(truth - predicted)) + 1.645 * stddev_samp(abs(truth - predicted)) / sqrt(count(*)), 6) AS clt FROM pairs GROUP BY kind",
-    "p11_ks_drift": f"""WITH {_SAMPLES}, z AS (SELECT v, sum(nx) AS nx, sum(ny) AS ny FROM (SELECT v, 1 AS nx, 0 AS ny FROM x UNION ALL SELECT v, 0, 1 FROM y) GROUP BY v), b AS (SELECT floor(v * 1000) AS bin, sum(nx) AS nx, sum(ny) AS ny FROM z GROUP BY floor(v * 1000))
+    "stat_p1_nonconformity": f"WITH {_PAIRS} SELECT id, round(abs(truth - predicted), 6) AS absolute, round(abs(truth - predicted) / (0.01 + predicted), 6) AS normalised FROM pairs",
+    "stat_p2_conformal_quantile": f"WITH {_Q} SELECT kind, round(q90, 6) AS q90, round(q95, 6) AS q95 FROM q",
+    "stat_p3_intervals": f"WITH {_Q} SELECT id, round(greatest(0.0, predicted - q90), 6) AS low, round(least(1.0, predicted + q90), 6) AS high FROM pairs JOIN q ON pairs.kind = q.kind",
+    "stat_p4_coverage": f"WITH {_Q} SELECT q.kind, round(avg(CASE WHEN abs(truth - predicted) <= q90 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(least(1.0, predicted + q90) - greatest(0.0, predicted - q90)), 6) AS width FROM pairs JOIN q ON pairs.kind = q.kind GROUP BY q.kind",
+    "stat_p6_regression_scorers": f"WITH {_PAIRS} SELECT kind, round(avg(abs(truth - predicted)), 6) AS absolute, round(avg(power(truth - predicted, 2)), 6) AS squared, round(avg(greatest(0.9 * (truth - predicted), -0.1 * (truth - predicted))), 6) AS pinball, round(stddev_pop(truth - predicted), 6) AS scale FROM pairs GROUP BY kind",
+    "stat_p8_quantile_levels": f"WITH {_PAIRS} SELECT kind, round(MEDIAN_AT(abs(truth - predicted), 0.9), 6) AS interpolated, round(avg(abs(truth - predicted)) + 1.645 * stddev_pop(abs(truth - predicted)), 6) AS normal FROM pairs GROUP BY kind",
+    "stat_p10_risk_bounds": f"WITH {_PAIRS} SELECT kind, round(avg(abs(truth - predicted)) + sqrt(ln(20) / (2 * count(*))), 6) AS hoeffding, round(avg(abs(truth - predicted)) + 1.645 * stddev_samp(abs(truth - predicted)) / sqrt(count(*)), 6) AS clt FROM pairs GROUP BY kind",
+    "stat_p11_ks_drift": f"""WITH {_SAMPLES}, z AS (SELECT v, sum(nx) AS nx, sum(ny) AS ny FROM (SELECT v, 1 AS nx, 0 AS ny FROM x UNION ALL SELECT v, 0, 1 FROM y) GROUP BY v), b AS (SELECT floor(v * 1000) AS bin, sum(nx) AS nx, sum(ny) AS ny FROM z GROUP BY floor(v * 1000))
         SELECT round(max(abs(fx - fy)), 6) AS ks FROM (SELECT sum(nx) OVER (ORDER BY bin) / CAST((SELECT count(*) FROM x) AS DOUBLE) AS fx, sum(ny) OVER (ORDER BY bin) / CAST((SELECT count(*) FROM y) AS DOUBLE) AS fy FROM b)""",
-    "p13_energy_distance": """WITH z AS (SELECT bin, sum(nx) AS nx, sum(ny) AS ny FROM (SELECT floor(o_totalprice / 100) AS bin, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS nx, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS ny FROM {orders}) GROUP BY bin),
+    "stat_p13_energy_distance": """WITH z AS (SELECT bin, sum(nx) AS nx, sum(ny) AS ny FROM (SELECT floor(o_totalprice / 100) AS bin, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS nx, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS ny FROM {orders}) GROUP BY bin),
         c AS (SELECT bin, CAST(sum(nx) OVER (ORDER BY bin) AS DOUBLE) / sum(nx) OVER () AS fx, CAST(sum(ny) OVER (ORDER BY bin) AS DOUBLE) / sum(ny) OVER () AS fy, lead(bin) OVER (ORDER BY bin) - bin AS step FROM z) SELECT round(2 * sum(power(fx - fy, 2) * step) / 1000, 6) AS energy FROM c WHERE step IS NOT NULL""",
-    "p14_fold_coverage": f"WITH {_PAIRS}, f AS (SELECT id % 5 AS fold, abs(truth - predicted) AS s FROM pairs), q AS (SELECT k.fold, MEDIAN_AT(f.s, 0.9) AS q FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY k.fold) SELECT CAST(f.fold AS BIGINT) AS fold, round(avg(CASE WHEN s <= q THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM f JOIN q ON f.fold = q.fold GROUP BY f.fold",
-    "p17_trend": f"WITH {_METRICS} SELECT event_type, round(regr_slope(value, place), 6) AS slope FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS place FROM m) WHERE place <= 30 GROUP BY event_type",
-    "p19_hoeffding_band": f"WITH {_METRICS} SELECT event_type, round(avg(value) - (max(value) - min(value)) * sqrt(ln(40) / (2 * count(*))), 6) AS low, round(avg(value) + (max(value) - min(value)) * sqrt(ln(40) / (2 * count(*))), 6) AS high FROM m GROUP BY event_type",
-    "p20_anova": """WITH g AS (SELECT o_orderpriority AS k, count(*) AS n, avg(o_totalprice) AS mean_value, var_pop(o_totalprice) * count(*) AS ssw FROM {orders} GROUP BY o_orderpriority), t AS (SELECT sum(n) AS n, sum(n * mean_value) / sum(n) AS grand, sum(ssw) AS ssw, count(*) AS k FROM g)
+    "stat_p14_fold_coverage": f"WITH {_PAIRS}, f AS (SELECT id % 5 AS fold, abs(truth - predicted) AS s FROM pairs), q AS (SELECT k.fold, MEDIAN_AT(f.s, 0.9) AS q FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY k.fold) SELECT CAST(f.fold AS BIGINT) AS fold, round(avg(CASE WHEN s <= q THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM f JOIN q ON f.fold = q.fold GROUP BY f.fold",
+    "stat_p17_trend": f"WITH {_METRICS} SELECT event_type, round(regr_slope(value, place), 6) AS slope FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS place FROM m) WHERE place <= 30 GROUP BY event_type",
+    "stat_p19_hoeffding_band": f"WITH {_METRICS} SELECT event_type, round(avg(value) - (max(value) - min(value)) * sqrt(ln(40) / (2 * count(*))), 6) AS low, round(avg(value) + (max(value) - min(value)) * sqrt(ln(40) / (2 * count(*))), 6) AS high FROM m GROUP BY event_type",
+    "stat_p20_anova": """WITH g AS (SELECT o_orderpriority AS k, count(*) AS n, avg(o_totalprice) AS mean_value, var_pop(o_totalprice) * count(*) AS ssw FROM {orders} GROUP BY o_orderpriority), t AS (SELECT sum(n) AS n, sum(n * mean_value) / sum(n) AS grand, sum(ssw) AS ssw, count(*) AS k FROM g)
         SELECT round((sum(g.n * power(mean_value - grand, 2)) / (max(t.k) - 1)) / (max(t.ssw) / (max(t.n) - max(t.k))), 6) AS f FROM g CROSS JOIN t""",
-    "p22_information": """WITH j AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM {orders} GROUP BY o_orderstatus, o_orderpriority), w AS (SELECT p, sum(p) OVER (PARTITION BY a) AS pa, sum(p) OVER (PARTITION BY b) AS pb FROM j)
+    "stat_p22_information": """WITH j AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM {orders} GROUP BY o_orderstatus, o_orderpriority), w AS (SELECT p, sum(p) OVER (PARTITION BY a) AS pa, sum(p) OVER (PARTITION BY b) AS pb FROM j)
         SELECT round(-sum(p * ln(p)), 6) AS joint, round(sum(p * ln(p / (pa * pb))), 6) AS mutual, round(-sum(p * ln(p / pa)), 6) AS conditional FROM w""",
-    "p23_posteriors": "SELECT o_orderpriority AS kind, round((1 + count_if(o_orderstatus = 'F')) / CAST(2 + count(*) AS DOUBLE), 6) AS mean_value, round(sqrt((1 + count_if(o_orderstatus = 'F')) * (1 + count_if(o_orderstatus <> 'F')) / (power(2 + count(*), 2) * (3 + count(*)))), 6) AS sd FROM {orders} GROUP BY o_orderpriority",
-    "p25_metric_model": f"WITH {_METRICS} SELECT event_type, round(regr_slope(value, UNIX(ts) / 3600), 6) AS slope, round(regr_r2(value, UNIX(ts) / 3600), 6) AS r2 FROM m GROUP BY event_type",
+    "stat_p23_posteriors": "SELECT o_orderpriority AS kind, round((1 + count_if(o_orderstatus = 'F')) / CAST(2 + count(*) AS DOUBLE), 6) AS mean_value, round(sqrt((1 + count_if(o_orderstatus = 'F')) * (1 + count_if(o_orderstatus <> 'F')) / (power(2 + count(*), 2) * (3 + count(*)))), 6) AS sd FROM {orders} GROUP BY o_orderpriority",
+    "stat_p25_metric_model": f"WITH {_METRICS} SELECT event_type, round(regr_slope(value, UNIX(ts) / 3600), 6) AS slope, round(regr_r2(value, UNIX(ts) / 3600), 6) AS r2 FROM m GROUP BY event_type",
     "h1_total_order": "SELECT vec, CAST(place AS BIGINT) AS place FROM (SELECT o_orderkey AS vec, row_number() OVER (ORDER BY CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END, o_totalprice DESC, o_orderkey) AS place FROM {orders})",
     "h3_canonical_hash": "SELECT o_orderkey, SHA(concat_ws('|', CAST(o_custkey AS STRING), o_orderpriority, o_orderstatus)) AS hash FROM {orders}",
     "h4_combined_hash": "SELECT o_custkey, SHA(JOINED(SORTED(COLLECT(md5(CAST(o_orderkey AS STRING)))), '|')) AS hash FROM {orders} GROUP BY o_custkey",

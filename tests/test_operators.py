@@ -123,7 +123,7 @@ def test_queries_match_their_twins(spark):
     con.execute("SET TimeZone='UTC'")
     for name in registry.TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    for name in ("r1_bm25", "t8_densities", "a4_point_scores", "p2_conformal_quantile", "m21_sessions", "g1_simple_paths", "m21_stream_sessions"):
+    for name in ("r1_bm25", "t8_densities", "a4_point_scores", "stat_p2_conformal_quantile", "m21_sessions", "g1_simple_paths", "m21_stream_sessions"):
         ours, theirs = known[name](spark, sf).toArrow(), con.execute(twins[name]).to_arrow_table()
         columns = sorted(ours.column_names)
         assert columns == sorted(theirs.column_names)
