@@ -63,3 +63,23 @@ def horn_closure(facts: DataFrame, clauses: list[tuple[set[str], str]]) -> DataF
         if fresh.isEmpty():
             return known
         known = cut(known.unionByName(fresh))
+
+
+def shortest_paths(edges: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(a, b, dist): least number of edges of the undirected graph between different nodes, up to ``cutoff``."""
+    known = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    known = cut(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    step = known.select(F.col("a").alias("m"), F.col("b").alias("to"))
+    found = frontier = cut(known.withColumn("dist", F.lit(1)))
+    for dist in range(2, cutoff + 1):
+        onward = frontier.join(step, F.col("b") == F.col("m")).where("a <> to").select("a", F.col("to").alias("b")).distinct()
+        frontier = cut(onward.join(found, ["a", "b"], "left_anti").withColumn("dist", F.lit(dist)))
+        if frontier.isEmpty():
+            break
+        found = cut(found.unionByName(frontier))
+    return found
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(node) of every node that lies on a cycle; empty exactly if the graph is acyclic."""
+    return closure(edges).where("a = b").select(F.col("a").alias("node"))

@@ -116,3 +116,14 @@ def maximum_mean_discrepancy(df: DataFrame, group: str, value: str, features: in
     means = scaled.agg(*[(F.avg(F.when(F.col("g"), F.cos(F.col("x") * float(wi) + float(bi)))) - F.avg(F.when(~F.col("g"), F.cos(F.col("x") * float(wi) + float(bi))))).alias(f"d{i}") for i, (wi, bi) in enumerate(zip(w, b))])
     total = sum((F.col(f"d{i}") * F.col(f"d{i}") for i in range(features)), F.lit(0.0))
     return means.select((total * 2 / features).alias("mmd2"))
+
+
+def coherence(vectors: DataFrame, group: str = "label", embedding: str = "embedding") -> DataFrame:
+    """(group, n, coherence): mean cosine over all pairs of different vectors of a group, without forming a pair.
+
+    The sum over pairs is the squared length of the sum of unit vectors less their number.
+    """
+    known = vectors.select(F.col(group).alias("g"), F.col(embedding).cast("array<double>").alias("e")).where("g is not null and size(e) > 0")
+    unit = known.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))).where("norm > 0")
+    sums = unit.select("g", "norm", F.posexplode("e").alias("dim", "x")).groupBy("g", "dim").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.count("*").alias("n"))
+    return sums.groupBy(F.col("g").alias(group)).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).where("n > 1").select(group, "n", ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("coherence"))

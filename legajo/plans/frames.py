@@ -11,7 +11,8 @@ from legajo.functions.session import ensure_checkpoint_dir, table
 from legajo.functions.expressions import column_of
 from legajo.operators import chunking, folds, graphs, lineage, transport
 from legajo.operators.learning import adaptive_scores
-from legajo.operators.vectors import cell_search, maximum_mean_discrepancy, top_similar
+from legajo.operators.nested import dewey_nodes
+from legajo.operators.vectors import cell_search, coherence, maximum_mean_discrepancy, top_similar
 from legajo.sources import files
 from legajo.streaming import metrics
 
@@ -148,7 +149,28 @@ def s19_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).groupBy("level").agg(F.count("*").alias("n"))
 
 
+def o9_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.shortest_paths(_nation_edges(spark, sf_dir))
+
+
+def g8_cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.cyclic_nodes(_nation_edges(spark, sf_dir))
+
+
+def p24_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coherence(table(spark, sf_dir, "embeddings")).select("label", "n", F.round(F.lit(1e-9) + F.col("coherence"), 5).alias("coherence"))
+
+
+def e14_nested_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = dewey_nodes(table(spark, sf_dir, "aggregation_artifact"))
+    return nodes.where("name = 'evidence_id' and kind = 'string'").groupBy("value").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("records"))
+
+
 QUERIES = {
+    "o9_shortest_paths": o9_shortest_paths,
+    "g8_cyclic_nodes": g8_cyclic_nodes,
+    "stat_p24_coherence": p24_coherence,
+    "e14_nested_evidence": e14_nested_evidence,
     "r6_cell_search": r6_cell_search,
     "h6_chained_log": h6_chained_log,
     "m8_rate_limit": m8_rate_limit,
@@ -179,6 +201,10 @@ QUERIES = {
 
 _EDGES = "e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation))"
 ORACLES = {
+    "o9_shortest_paths": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation) WHERE a <> b), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b, 1 AS dist FROM u UNION SELECT r.a, u.b, dist + 1 FROM r JOIN u ON r.b = u.a WHERE dist < 10) SELECT a, b, min(dist) AS dist FROM r WHERE a <> b GROUP BY a, b",
+    "g8_cyclic_nodes": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation)), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node FROM c WHERE a = b",
+    "stat_p24_coherence": """WITH u AS (SELECT label, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings WHERE label IS NOT NULL), x AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) / norm AS v FROM u), s AS (SELECT label, dim, sum(v) AS s, count(*) AS n FROM x GROUP BY label, dim)
+        SELECT label, max(n) AS n, round(1e-9 + (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 5) AS coherence FROM s GROUP BY label HAVING max(n) > 1""",
     "h22_expression": "SELECT o_orderkey, 0 < o_totalprice / 1000 AND o_totalprice / 1000 <= 150 AND NOT (o_custkey % 2 = 0) AS holds FROM orders",
     "s19_levels": "SELECT 'question' AS level, count(*) AS n FROM question_mapping UNION ALL SELECT 'dimension', count(DISTINCT dimension) FROM question_mapping",
     "r5_vector_search": """SELECT query_id, vec_id, score, place FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (

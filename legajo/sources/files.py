@@ -44,3 +44,12 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs not yet among the finished ones: resuming a batch."""
     return inputs.join(done.select(key).distinct(), key, "left_anti")
+
+
+def write_table(df: DataFrame, path: str, most_csv_rows: int = 1000) -> bool:
+    """Rows as Parquet, and as CSV beside it when there are fewer than ``most_csv_rows``; says whether CSV was written."""
+    df.write.mode("overwrite").parquet(f"{path}/parquet")
+    small = len(df.take(most_csv_rows)) < most_csv_rows
+    if small:
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    return small
