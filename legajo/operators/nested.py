@@ -81,8 +81,8 @@ def schema_tables(nodes: DataFrame) -> DataFrame:
     """(table_path, record_id, node_key, parent_key, ordinal, kind, value): nodes grouped by schema path, keys as dotted labels."""
     dotted = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ".")
     return nodes.select(
-        F.array_join("path", "/").alias("table_path"), "record_id", dotted(F.col("dewey")).alias("node_key"), dotted(parent_label(F.col("dewey"))).alias("parent_key"), F.element_at("dewey", -1).alias("ordinal"), "kind", "value"
-    ).withColumn("ordinal", F.when(F.col("node_key") != "", F.col("ordinal")))
+        F.array_join("path", "/").alias("table_path"), "record_id", dotted(F.col("dewey")).alias("node_key"), dotted(parent_label(F.col("dewey"))).alias("parent_key"), F.try_element_at("dewey", F.lit(-1)).alias("ordinal"), "kind", "value"
+    )
 
 
 #: section -> kind of its entries; container below an entry -> (kind of child, container below the child, kind of grandchild)
