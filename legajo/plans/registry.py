@@ -46,7 +46,6 @@ def spell(sql: str, engine: int) -> str:
                 depth += {"(": 1, ")": -1}.get(sql[end], 0)
                 end += 1
             sql = f"{sql[:at]}sha2({sql[at + 8 : end - 1]}, 256){sql[end:]}"
-        sql = sql.replace("\\p{", "\\\\p{") if "\\\\p{" not in sql else sql
     return sql
 
 

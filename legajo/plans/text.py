@@ -31,7 +31,7 @@ SHARED = {
         SELECT doc_id, LEN(WORDS(text)) AS words, LEN(SPLIT(text, '\\n')) AS lines, LEN(FINDALL(text, '[|;].*[|;]')) AS tables, LEN(FINDALL(text, '(^|\\n)[-*0-9]+[.)] ')) AS lists FROM {documents})""",
     "t20_temporal": "SELECT doc_id, year, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, UNNEST(FINDALL(text, '(?:19|20)[0-9][0-9]')) AS year FROM {documents}) GROUP BY doc_id, year",
     "t22_syntactic": "SELECT mapping_id, round(0.7 * LEN(INTERSECT_OF(w, k)) / CAST(LEN(w) + LEN(k) - LEN(INTERSECT_OF(w, k)) AS DOUBLE), 6) AS alignment FROM (SELECT mapping_id, DISTINCT_OF(WORDS(question_text)) AS w, DISTINCT_OF(WORDS(point_name)) AS k FROM {question_mapping}) WHERE LEN(w) + LEN(k) > 0",
-    "c3_token_windows": """SELECT doc_id, CAST(floor(place / 64) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS tokens, min(word) AS first_word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS place FROM (SELECT doc_id, e.place AS place, e.word AS word FROM (SELECT doc_id, UNNEST(ENUMERATED) AS e FROM {documents}))) GROUP BY doc_id, floor(place / 64)""",
+    "c3_token_windows": """SELECT doc_id, CAST(floor(place / 64) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS tokens, min(word) AS first_word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS place FROM (SELECT doc_id, PLACED_WORDS FROM {documents})) GROUP BY doc_id, floor(place / 64)""",
     "c6_page_anchor": "SELECT chunk_id, CAST(floor(min(start_at) / 2000) + 1 AS BIGINT) AS page FROM (SELECT chunk_id, provenance.character_offsets[OFFSET0] AS start_at FROM {processed_chunk}) WHERE start_at IS NOT NULL GROUP BY chunk_id",
     "c7_context": """SELECT chunk_id, substr(coalesce(lag(content) OVER w, ''), 1, 80) AS before_text, substr(coalesce(lead(content) OVER w, ''), 1, 80) AS after_text FROM (SELECT chunk_id, min(provenance.source_document) AS source, min(metadata.chunk_index) AS place, min(content) AS content FROM {processed_chunk} GROUP BY chunk_id) WINDOW w AS (PARTITION BY source ORDER BY place, chunk_id)""",
     "r1_bm25": f"""WITH t AS (SELECT doc_id, word, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, UNNEST(WORDS(text)) AS word FROM {{documents}}) GROUP BY doc_id, word),
@@ -59,14 +59,11 @@ SHARED = {
 }
 
 
-def _special(name: str, sql: str, engine: int) -> str:
+def _own(sql: str, engine: int) -> str:
     """Positions within arrays, which the engines enumerate in their own ways."""
-    if name == "c3_token_windows":
-        if engine == 0:
-            return sql.replace("SELECT doc_id, e.place AS place, e.word AS word FROM (SELECT doc_id, UNNEST(ENUMERATED) AS e FROM {documents})", "SELECT doc_id, posexplode(WORDS(text)) AS (place, word) FROM {documents}")
-        return sql.replace("SELECT doc_id, e.place AS place, e.word AS word FROM (SELECT doc_id, UNNEST(ENUMERATED) AS e FROM {documents})", "SELECT doc_id, unnest(range(len(WORDS(text)))) AS place, unnest(WORDS(text)) AS word FROM {documents}")
-    return sql.replace("OFFSET0", "01"[engine])
+    placed = ("posexplode(WORDS(text)) AS (place, word)", "unnest(range(len(WORDS(text)))) AS place, unnest(WORDS(text)) AS word")[engine]
+    return sql.replace("PLACED_WORDS", placed).replace("OFFSET0", "01"[engine])
 
 
-QUERIES = build({k: _special(k, v, 0) for k, v in SHARED.items()})[0]
-ORACLES = build({k: _special(k, v, 1) for k, v in SHARED.items()})[1]
+QUERIES = build({k: _own(v, 0) for k, v in SHARED.items()})[0]
+ORACLES = build({k: _own(v, 1) for k, v in SHARED.items()})[1]
