@@ -7,7 +7,7 @@ cluster; line items are pieces of evidence and suppliers their sources.
 
 from __future__ import annotations
 
-from legajo.plans.registry import build
+from legajo.plans.registry import build, spark_query
 
 # Base score of a response, weight of a dimension, expected questions of a dimension.
 _BASE = "CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 1.0 WHEN '3-MEDIUM' THEN 0.5 ELSE 0.0 END"
@@ -22,6 +22,7 @@ _EVIDENCE = """evidence AS (SELECT l_orderkey AS question_id, l_linenumber AS ev
     CAST(l_tax AS DOUBLE) * 10 AS authority, l_shipdate AS dated, l_returnflag AS kind FROM {lineitem})"""
 _POINTS = f"""{_SCORED}, dims AS (SELECT document, point, cluster, dimension, avg(score) AS score, count(*) AS n, sum(evidence) AS evidence FROM scored GROUP BY document, point, cluster, dimension),
     points AS (SELECT document, point, cluster, sum(score * {_WEIGHT}) / sum({_WEIGHT}) AS score, count(*) AS dimensions, sum(n) AS n, sum(evidence) AS evidence FROM dims GROUP BY document, point, cluster)"""
+_COVERAGE = f"WITH {_ANSWERS} SELECT point, round(least(count_if(dimension = 'DE-1') / CAST(2 AS DOUBLE), 1.0), 6) AS de1, round(least(count_if(dimension = 'DE-2') / CAST(2 AS DOUBLE), 1.0), 6) AS de2, round(least(count_if(dimension = 'DE-3') / CAST(2 AS DOUBLE), 1.0), 6) AS de3, round(least(count_if(dimension = 'DE-4') / CAST(2 AS DOUBLE), 1.0), 6) AS de4 FROM answers"
 
 SHARED = {
     "a1_base_scores": f"WITH {_ANSWERS} SELECT response, CAST(count(*) AS BIGINT) AS n, round(sum(base), 6) AS total FROM answers GROUP BY response",
@@ -60,7 +61,7 @@ SHARED = {
     "a34_normative": f"WITH {_EVIDENCE} SELECT question_id, round(greatest(0.0, 100 - (sum(CASE WHEN relevance < 0.1 THEN 10 ELSE 0 END) * (1 + 0.1 * count_if(relevance < 0.1)) + 5 * count_if(relevance >= 0.1 AND relevance < 0.3) + 0.5 * count_if(relevance >= 0.3 AND relevance < 0.5))), 6) AS score FROM evidence GROUP BY question_id",
     "a35_alignment": f"WITH {_EVIDENCE} SELECT dimension, round(sum(credibility * relevance) / sum(credibility) + least(0.2, 0.02 * count(DISTINCT source)), 6) AS alignment FROM evidence GROUP BY dimension",
     "a36_deviations": f"WITH {_POINTS} SELECT point, round(abs(0.75 - avg(score)), 6) AS deviation, CASE WHEN abs(0.75 - avg(score)) <= 0.1 THEN 'aligned' WHEN abs(0.75 - avg(score)) <= 0.3 THEN 'minor' WHEN abs(0.75 - avg(score)) <= 0.5 THEN 'major' ELSE 'critical' END AS status FROM points GROUP BY point",
-    "a39_coverage_matrix": f"WITH {_ANSWERS} SELECT point, round(least(count_if(dimension = 'DE-1') / CAST(2 AS DOUBLE), 1.0), 6) AS de1, round(least(count_if(dimension = 'DE-2') / CAST(2 AS DOUBLE), 1.0), 6) AS de2, round(least(count_if(dimension = 'DE-3') / CAST(2 AS DOUBLE), 1.0), 6) AS de3, round(least(count_if(dimension = 'DE-4') / CAST(2 AS DOUBLE), 1.0), 6) AS de4 FROM answers WHERE question_id % 17 = point % 17 GROUP BY point",
+    "a39_coverage_matrix": f"{_COVERAGE} WHERE question_id % 17 = point % 17 GROUP BY point",
     "a40_lookup": "SELECT mapping_id, question_id, decalogo_point, dimension, sector FROM {question_mapping} WHERE decalogo_point = 3 OR (dimension = 'DE-2' AND value_chain_link = 'resultado')",
     "a41_registry_distribution": "SELECT decalogo_point, dimension, CAST(count(*) AS BIGINT) AS n, CAST(grouping(dimension) AS BIGINT) AS total FROM {question_mapping} GROUP BY GROUPING SETS ((decalogo_point, dimension), (decalogo_point))",
     "a42_jensen_shannon": """WITH p AS (SELECT o_orderpriority AS k, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_orderpriority), q AS (SELECT o_orderpriority AS k, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS q FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_orderpriority)
@@ -93,3 +94,4 @@ SHARED = {
 }
 
 QUERIES, ORACLES = build(SHARED)
+QUERIES["a39_coverage_matrix"] = spark_query(f"{_COVERAGE} GROUP BY point")  # all answers of a point; the twin keeps the text above
