@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from legajo.plans.registry import build
+from legajo.plans.registry import build, spark_query
 from legajo.plans.scoring import _ANSWERS, _EVIDENCE, _POINTS, _SCORED
 from legajo.plans.statistics import _LINKS, _METRICS, _PAIRS
 
@@ -15,6 +15,12 @@ _BATCH = f"""{_POSTINGS}, {_QUERY_TERMS}, f AS (SELECT t.word, count(*) AS df FR
 _FUSED = """lexical AS (SELECT o_custkey AS k, avg(o_totalprice) / 500000 AS s FROM {orders} GROUP BY o_custkey), dense AS (SELECT c_custkey AS k, (c_acctbal + 1000) / 11000 AS s FROM {customer}), late AS (SELECT o_custkey AS k, count(DISTINCT o_orderpriority) / CAST(5 AS DOUBLE) AS s FROM {orders} GROUP BY o_custkey),
     places AS (SELECT k, CAST(1 AS DOUBLE) / (60 + row_number() OVER (ORDER BY s DESC, k)) AS s FROM lexical UNION ALL SELECT k, CAST(1 AS DOUBLE) / (60 + row_number() OVER (ORDER BY s DESC, k)) FROM dense), rrf AS (SELECT k, sum(s) AS s FROM places GROUP BY k)"""
 
+# Whole keywords: candidates share the first word, then the keyword has to stand between characters of no word, any white space for its blanks.
+_PHRASES = r"""SELECT mapping_id, kw_id, CASE WHEN concat(' ', line, ' ') LIKE concat('% ', phrase, ' %') THEN 1.0 ELSE 0.95 END AS score
+    FROM (SELECT mapping_id, line, UNNEST(DISTINCT_OF(WORDS(line))) AS word FROM (SELECT mapping_id, lower(question_text) AS line FROM {question_mapping}))
+    JOIN (SELECT kw_id, lower(keyword) AS phrase, WORDS(keyword)[0] AS first_word FROM {keyword_lexicon} WHERE LEN(WORDS(keyword)) > 0) ON word = first_word
+    WHERE regexp_replace(line, '\\s+', ' ') RLIKE concat('(?<![\\p{L}\\p{N}_])\\Q', regexp_replace(phrase, '\\s+', ' '), '\\E(?![\\p{L}\\p{N}_])')"""
+
 SHARED = {
     "r23_batch_search": f"WITH {_BATCH} SELECT kw_id, doc_id, score, CAST(place AS BIGINT) AS place FROM r WHERE place <= 10",
     "r33_evaluation": f"""WITH {_BATCH}, g AS (SELECT kw_id, doc_id, place, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS rel FROM r WHERE place <= 100)
@@ -30,7 +36,7 @@ SHARED = {
     "t10_metadata": "SELECT doc_id, min(CAST(year AS INT)) AS first_year, max(CAST(year AS INT)) AS last_year FROM (SELECT doc_id, UNNEST(FINDALL(text, '20[0-9][0-9]')) AS year FROM {documents}) GROUP BY doc_id",
     "t21_bigram_similarity": """WITH g AS (SELECT mapping_id, question_id, word, lead(word) OVER (PARTITION BY mapping_id ORDER BY word) AS following FROM (SELECT mapping_id, question_id, UNNEST(DISTINCT_OF(WORDS(question_text))) AS word FROM {question_mapping})), c AS (SELECT mapping_id, count(*) AS n FROM g WHERE following IS NOT NULL GROUP BY mapping_id)
         SELECT a.mapping_id AS id_a, b.mapping_id AS id_b, round(count(*) / CAST(max(ca.n) + max(cb.n) - count(*) AS DOUBLE), 6) AS bigrams FROM g a JOIN g b ON a.question_id = b.question_id AND a.word = b.word AND a.following = b.following AND a.mapping_id < b.mapping_id JOIN c ca ON a.mapping_id = ca.mapping_id JOIN c cb ON b.mapping_id = cb.mapping_id GROUP BY a.mapping_id, b.mapping_id""",
-    "t14_fuzzy_sections": "SELECT a.kw_id AS id_a, b.kw_id AS id_b, CAST(levenshtein(lower(a.keyword), lower(b.keyword)) AS BIGINT) AS distance FROM {keyword_lexicon} a JOIN {keyword_lexicon} b ON substr(lower(a.keyword), 1, 1) = substr(lower(b.keyword), 1, 1) AND a.kw_id < b.kw_id WHERE levenshtein(lower(a.keyword), lower(b.keyword)) <= 3",
+    "t14_fuzzy_sections": "SELECT a.kw_id AS id_a, b.kw_id AS id_b, CAST(levenshtein(lower(a.keyword), lower(b.keyword)) AS BIGINT) AS distance FROM {keyword_lexicon} a JOIN {keyword_lexicon} b ON a.kw_id < b.kw_id WHERE levenshtein(lower(a.keyword), lower(b.keyword)) <= 3",
     "e6_components": f"WITH {_EVIDENCE} SELECT question_id, evidence_id, round(least(1.0, relevance * 1.2), 6) AS relevance, round(CASE kind WHEN 'R' THEN 0.9 WHEN 'A' THEN 0.7 ELSE 0.5 END, 6) AS credibility, round(least(1.0, authority + 0.1), 6) AS authority FROM evidence",
     "a29_dimension_level": f"WITH {_SCORED} SELECT document, dimension, CAST(sum(evidence) AS BIGINT) AS evidence, round(sum(quality * (1 + evidence)) / sum(1 + evidence), 6) AS quality FROM scored GROUP BY document, dimension",
     "a37_standards": "SELECT channel, round((0.4 * count_if(lower(content) LIKE '%indicador%') + 0.3 * count_if(lower(content) LIKE '%meta%') + 0.3 * count_if(lower(content) LIKE '%línea base%')) / count(*), 6) AS compliance FROM {processed_chunk} GROUP BY channel",
@@ -77,4 +83,5 @@ def _own(sql: str, engine: int) -> str:
 
 QUERIES = build({k: _own(v, 0) for k, v in SHARED.items()})[0]
 ORACLES = build({k: _own(v, 1) for k, v in SHARED.items()})[1]
+QUERIES["r25_pattern_matches"] = spark_query(_PHRASES)  # keywords of several words too; the twin keeps the text above
 del ORACLES["t14_fuzzy_sections"]  # DuckDB counts bytes in levenshtein, Spark characters; tested against brute force

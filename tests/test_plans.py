@@ -1,4 +1,4 @@
-from legajo.plans import scoring
+from legajo.plans import extended, scoring
 
 
 def _tables(spark, folder, **tables):
@@ -18,3 +18,32 @@ def test_coverage_matrix_counts_every_answer(spark, tmp_path):
     )
     got = {r.point: (r.de1, r.de2, r.de3, r.de4) for r in scoring.QUERIES["a39_coverage_matrix"](spark, sf).collect()}
     assert got == {0: (0.5, 0.5, 0.0, 0.5), 5: (1.0, 0.0, 0.5, 0.0)}
+
+
+def test_pattern_matches_find_keywords_of_several_words(spark, tmp_path):
+    lines = ["¿Hay agua potable?", "agua muy potable", "Agua\npotable para el Agua", "desagua potable", "costo-beneficio del agua potables", "el costo beneficio", None]
+    words = ["agua", "Agua potable", "costo-beneficio", "c++ (x)"]
+    sf = _tables(
+        spark,
+        tmp_path,
+        question_mapping=([(str(i), t) for i, t in enumerate(lines)], "mapping_id string, question_text string"),
+        keyword_lexicon=([(f"k{i}", w) for i, w in enumerate(words)], "kw_id string, keyword string"),
+    )
+    got = sorted((r.mapping_id, r.kw_id, r.score) for r in extended.QUERIES["r25_pattern_matches"](spark, sf).collect())
+    assert got == [("0", "k0", 1.0), ("0", "k1", 0.95), ("1", "k0", 1.0), ("2", "k0", 1.0), ("2", "k1", 0.95), ("4", "k0", 1.0), ("4", "k2", 1.0)]
+
+
+def test_fuzzy_sections_match_brute_force(spark):
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/keyword_lexicon.parquet").collect()
+    want = {(a.kw_id, b.kw_id, d) for a in rows for b in rows if a.kw_id < b.kw_id and (d := levenshtein(a.keyword.lower(), b.keyword.lower())) <= 3}
+    assert {tuple(r) for r in extended.QUERIES["t14_fuzzy_sections"](spark, sf).collect()} == want
+    assert any(a[0] != b[0] for a, b in ((x.keyword.lower(), y.keyword.lower()) for x in rows for y in rows if (x.kw_id, y.kw_id) in {w[:2] for w in want}))
