@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.functions.session import ensure_checkpoint_dir, table
+from legajo.functions.session import cut, ensure_checkpoint_dir, table
 from legajo.functions.expressions import column_of
 from legajo.operators import chunking, folds, graphs, lineage, transport
 from legajo.operators.learning import adaptive_scores
 from legajo.operators.nested import dewey_nodes
+from legajo.operators.similar import copy_classes, removed_copies, similar_pairs
 from legajo.operators.vectors import cell_search, coherence, maximum_mean_discrepancy, top_similar
 from legajo.sources import files
 from legajo.streaming import metrics
@@ -166,7 +167,23 @@ def e14_nested_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("name = 'evidence_id' and kind = 'string'").groupBy("value").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("records"))
 
 
+def _class_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    classes = cut(copy_classes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return classes, similar_pairs(classes.where("doc_id = class_id").select(F.col("class_id").alias("id"), "words"))
+
+
+def r30_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class_pairs(spark, sf_dir)[1].select("id_a", "id_b", F.round(F.lit(1e-9) + F.col("jaccard"), 6).alias("jaccard"))
+
+
+def r30_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, pairs = _class_pairs(spark, sf_dir)
+    return removed_copies(classes, pairs).withColumn("jaccard", F.round(F.lit(1e-9) + F.col("jaccard"), 6))
+
+
 QUERIES = {
+    "r30_similar_pairs": r30_similar_pairs,
+    "r30_near_duplicates": r30_near_duplicates,
     "o9_shortest_paths": o9_shortest_paths,
     "g8_cyclic_nodes": g8_cyclic_nodes,
     "stat_p24_coherence": p24_coherence,
@@ -201,6 +218,9 @@ QUERIES = {
 
 _EDGES = "e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation))"
 ORACLES = {
+    "r30_similar_pairs": r"""WITH w AS (SELECT doc_id, length(text) AS chars, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents), k AS (SELECT arg_max(doc_id, struct_pack(chars := chars, doc := -doc_id)) AS id, any_value(words) AS words FROM w WHERE len(words) > 0 GROUP BY array_to_string(words, ' ')),
+        s AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(1, len(words) - 4) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM k), n AS (SELECT id, count(*) AS n FROM s GROUP BY id), i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b, round(1e-9 + i / CAST(x.n + y.n - i AS DOUBLE), 6) AS jaccard FROM i JOIN n x ON id_a = x.id JOIN n y ON id_b = y.id WHERE 5 * i >= 4 * (x.n + y.n - i)""",
     "o9_shortest_paths": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation) WHERE a <> b), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b, 1 AS dist FROM u UNION SELECT r.a, u.b, dist + 1 FROM r JOIN u ON r.b = u.a WHERE dist < 10) SELECT a, b, min(dist) AS dist FROM r WHERE a <> b GROUP BY a, b",
     "g8_cyclic_nodes": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(unnest([(n_nationkey * 2) % 25, (n_nationkey * 3 + 1) % 25]) AS BIGINT) AS b FROM nation)), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node FROM c WHERE a = b",
     "stat_p24_coherence": """WITH u AS (SELECT label, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings WHERE label IS NOT NULL), x AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) / norm AS v FROM u), s AS (SELECT label, dim, sum(v) AS s, count(*) AS n FROM x GROUP BY label, dim)
