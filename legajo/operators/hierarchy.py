@@ -110,7 +110,31 @@ def resolve_hierarchy(links: DataFrame, node: str = "code", parent: str = "paren
     return known.select(F.col("node").alias("code"), "root_code", "tree_depth", *(["path"] if with_paths else []))
 
 
+def below_cycles(links: DataFrame, resolved: DataFrame, node: str = "code", parent: str = "parent") -> DataFrame:
+    """``resolved`` with a ``path`` for nodes below a cycle too; only members of a cycle keep a null one.
+
+    The path leads once round the cycle, ending at the member the node hangs
+    from, and on down to the node.  Each cycle is opened at its smallest code,
+    so the trees below it resolve like any other.
+    """
+    caught = resolved.where("tree_depth = -1").select("code", "root_code")
+    raw = links.select(F.col(node).cast("string").alias("code"), F.col(parent).cast("string").alias("parent"))
+    up = cut(raw.groupBy("code").agg(F.min("parent").alias("parent")).join(caught, "code"))
+    opened = up.select("code", F.when(F.col("code") != F.col("root_code"), F.col("parent")).alias("parent"))
+    forest = cut(resolve_hierarchy(opened, with_paths=True))
+    last = up.where("code = root_code").select("root_code", F.col("parent").alias("code"))
+    rings = last.join(forest.select("code", F.col("path").alias("ring")), "code").select("root_code", "ring")
+    below = forest.join(rings, "root_code").where(~F.array_contains("ring", F.col("code")))
+    paths = below.select("code", F.expr("slice(ring, size(array_intersect(path, ring)) + 1, size(ring))").alias("rest"), F.col("path").alias("way"))
+    joined = resolved.join(paths.select("code", F.concat("rest", "way").alias("way")), "code", "left")
+    return joined.select("code", "root_code", "tree_depth", F.coalesce("path", "way").alias("path"))
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
-    """(code, descendant, distance) from the ``path`` of :func:`resolve_hierarchy`; a node is not its own descendant."""
-    steps = resolved.where("path is not null").select(F.col("code").alias("descendant"), "tree_depth", F.posexplode("path").alias("pos", "ancestor"))
-    return steps.where("pos < tree_depth").select(F.col("ancestor").alias("code"), "descendant", (F.col("tree_depth") - F.col("pos")).alias("distance"))
+    """(code, descendant, distance) from the ``path`` of :func:`resolve_hierarchy`; a node is not its own descendant.
+
+    With :func:`below_cycles` in between, all members of a cycle have the nodes
+    below it as descendants; members are no descendants, not even of each other.
+    """
+    steps = resolved.where("path is not null").select(F.col("code").alias("descendant"), (F.size("path") - 1).alias("length"), F.posexplode("path").alias("pos", "ancestor"))
+    return steps.where("pos < length").select(F.col("ancestor").alias("code"), "descendant", (F.col("length") - F.col("pos")).alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from legajo.functions.session import cut, table
-from legajo.operators.hierarchy import descendants, parent_links, resolve_hierarchy
+from legajo.operators.hierarchy import below_cycles, descendants, parent_links, resolve_hierarchy
 from legajo.operators.nested import dewey_nodes, schema_tables, section_children
 
 
@@ -30,7 +30,8 @@ def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendants(cut(p7_paths(spark, sf_dir)))
+    links = cut(_links(spark, sf_dir))
+    return descendants(below_cycles(links, cut(resolve_hierarchy(links, with_paths=True))))
 
 
 QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}

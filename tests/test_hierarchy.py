@@ -1,6 +1,6 @@
 import random
 
-from legajo.operators.hierarchy import descendants, parent_links, resolve_hierarchy
+from legajo.operators.hierarchy import below_cycles, descendants, parent_links, resolve_hierarchy
 
 
 def _brute(parents):
@@ -49,3 +49,22 @@ def test_descendants(spark):
     links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "code string, parent string")
     found = {tuple(r) for r in descendants(resolve_hierarchy(links, with_paths=True)).collect()}
     assert found == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_descendants_below_cycles(spark):
+    rng = random.Random(3)
+    names = [f"n{i:02d}" for i in range(60)]
+    parents = {n: rng.choice([None, "missing", *names]) for n in names} | {"x": "y", "y": "z", "z": "x", "d": "y", "e": "d", "f": "e", "self": "self", "under": "self"}
+    links = spark.createDataFrame(list(parents.items()), "code string, parent string").cache()
+
+    def up(node):
+        out, at = [], parents[node]
+        while at in parents and at not in out:
+            out.append(at)
+            at = parents[at]
+        return out
+
+    want = {(a, n, i) for n in parents if n not in up(n) for i, a in enumerate(up(n), 1)}
+    assert {("d", "f", 2), ("y", "f", 3), ("z", "f", 4), ("x", "f", 5), ("self", "under", 1)} <= want
+    found = descendants(below_cycles(links, resolve_hierarchy(links, with_paths=True)))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
