@@ -83,3 +83,34 @@ def shortest_paths(edges: DataFrame, cutoff: int = 10) -> DataFrame:
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(node) of every node that lies on a cycle; empty exactly if the graph is acyclic."""
     return closure(edges).where("a = b").select(F.col("a").alias("node"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach each other share a component, named after its smallest node."""
+    reach = closure(edges)
+    mutual = reach.join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+    nodes = reach.select("a", F.col("a").alias("b")).unionByName(reach.select(F.col("b").alias("a"), "b"))
+    return mutual.unionByName(nodes).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def topological_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, layer) with ``layer`` the most edges (a before b) that lead to the node; -1 on a cycle and after one.
+
+    Edges of a node to itself are ignored.  A round drops the edges whose start
+    has no edge left before it; the rounds are as many as there are layers.
+    """
+    known = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    left = cut(known.distinct())
+    waits = left.select(F.col("b").alias("node"), F.lit(1).alias("layer")).limit(0)
+    size, number = left.count(), 0
+    while size:
+        number += 1
+        waits = waits.unionByName(left.select(F.col("b").alias("node"), F.lit(number).alias("layer")).distinct())
+        left = cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+        before, size = size, left.count()
+        if size == before:
+            break
+    stuck = left.select(F.col("b").alias("node")).distinct().withColumn("stuck", F.lit(True))
+    layers = waits.groupBy("node").agg(F.max("layer").alias("layer"))
+    found = nodes.select("node").distinct().join(layers, "node", "left").join(stuck, "node", "left")
+    return found.select("node", F.when(F.col("stuck"), -1).otherwise(F.coalesce("layer", F.lit(0))).alias("layer"))

@@ -44,6 +44,14 @@ def parent_links(components: DataFrame, code: str = "code", dependencies: str =
     return base.select("code").distinct().join(named, "code", "left")
 
 
+def dependency_edges(components: DataFrame, code: str = "code", dependencies: str = "dependencies") -> DataFrame:
+    """(a, b) for each component ``a`` that a component ``b`` depends on, named as for :func:`parent_links`."""
+    base = components.select(F.col(code).cast("string").alias("b"), F.col(dependencies).alias("deps")).where("b is not null")
+    known = base.groupBy(code_key(F.col("b")).alias("key")).agg(F.min("b").alias("a"))
+    entries = base.select("b", F.explode("deps").alias("entry")).select("b", code_key(F.col("entry")).alias("key"))
+    return entries.where("key is not null and key <> ''").join(known, "key").select("a", "b").distinct()
+
+
 def _round(live: DataFrame, number: int) -> DataFrame:
     """One round over (node, parent, dist, low[, mids]); ``gone`` marks what it takes out."""
     paths = "mids" in live.columns
