@@ -3,13 +3,17 @@
 Everything that decides is done on the histogram of lengths, whose size is
 bounded by the capacity however many texts there are:
 
-1. dynamic programming chooses the length buckets that minimise padding;
-2. from the longest bucket down, token-budget batches form inside each bucket:
-   as many of the longest items left as the budget holds, then the next lengths;
-3. what a batch leaves unused is filled with items of shorter buckets.
-
-The outcome is a short table of patterns; each item finds its container by its
-rank among the items of its length.
+1. :func:`bucket_bounds`: dynamic programming chooses the length buckets that
+   minimise padding;
+2. :func:`_batch`: token-budget batches form inside each bucket, from the longest
+   bucket down: items in order of length, closed by the first that the budget
+   does not hold;
+3. :func:`_fill`: what a closed batch leaves unused is given to items of shorter
+   buckets, never to its own.
+
+The bounds decide both where a batch closes and what may fill it.  The outcome
+is a short table of patterns; each item finds its container by its rank among
+the items of its length.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.functions.session import cut_table
 from legajo.llm.tokens import ranked
 
 BUCKETS = 16
-PLAN_SCHEMA = "spec_id int, length int, first bigint, last bigint, copies int, base bigint, bucket int"
+#: Bits of the rank in the key that an item is looked up by.
+_RANK_BITS = 44
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -55,36 +61,60 @@ def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int
     return sorted(set(bounds))
 
 
-def patterns(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> list[tuple[int, list[tuple[int, int]], int]]:
-    """(times, [(length, copies)], bucket): contents of containers that together hold the histogram; lengths are 1 to ``capacity``."""
+def _batch(own: list[int], left: dict[int, int], room: int) -> tuple[list[tuple[int, int]], int]:
+    """(contents, room left) of one batch of the bucket lengths ``own`` (ascending): the longest first, up to the first item beyond the budget."""
+    content = []
+    for length in reversed(own):
+        copies = min(room // length, left[length])
+        if copies:
+            content.append((length, copies))
+            room -= copies * length
+        if copies < left[length]:
+            break
+    return content, room
+
+
+def _fill(shorter: list[int], left: dict[int, int], room: int) -> list[tuple[int, int]]:
+    """Items of the lengths ``shorter`` (ascending) for the ``room`` that a batch leaves, the longest that fit first."""
+    content = []
+    at = bisect_right(shorter, room) - 1
+    while at >= 0:
+        length = shorter[at]
+        copies = min(room // length, left[length])
+        content.append((length, copies))
+        room -= copies * length
+        at = bisect_right(shorter, room, 0, at) - 1
+    return content
+
+
+def patterns(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS, fill: bool = True) -> list[tuple[int, list[tuple[int, int]], int]]:
+    """(times, [(length, copies)], bucket): contents of containers that together hold the histogram; lengths are 1 to ``capacity``.
+
+    ``fill`` false leaves out the last step: batches of their own bucket only.
+    """
     left = {length: count for length, count in histogram.items() if count > 0}
     bounds = bucket_bounds(left, buckets)
     ordered = sorted(left)
     out = []
-    while ordered:
-        room, content, times = capacity, [], None
-        at = len(ordered) - 1
-        while at >= 0:
-            length = ordered[at]
-            copies = min(room // length, left[length])
-            if copies:
-                possible = left[length] // copies
-                times = possible if times is None else min(times, possible)
-                content.append((length, copies))
-                room -= copies * length
-            at = bisect_right(ordered, room, 0, at) - 1
-        for length, copies in content:
-            left[length] -= copies * times
-            if not left[length]:
-                ordered.remove(length)
-        out.append((times, content, bisect_right(bounds, content[0][0] - 1)))
+    for bucket in range(len(bounds) - 1, -1, -1):
+        low = bounds[bucket - 1] if bucket else 0
+        while (border := bisect_right(ordered, low)) < len(ordered):
+            content, room = _batch(ordered[border:], left, capacity)
+            if fill:
+                content += _fill(ordered[:border], left, room)
+            times = min(left[length] // copies for length, copies in content)
+            for length, copies in content:
+                left[length] -= copies * times
+                if not left[length]:
+                    ordered.remove(length)
+            out.append((times, content, bucket))
     return out
 
 
-def plan_rows(spec_id: int, histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> list[tuple]:
-    """Rows of ``PLAN_SCHEMA``: which ranks of a length go to which containers."""
+def plan_rows(spec_id: int, histogram: dict[int, int], capacity: int, buckets: int = BUCKETS, fill: bool = True) -> list[tuple]:
+    """(spec_id, length, first, last, copies, base, bucket): which ranks of a length go to which containers."""
     rows, used, base = [], dict.fromkeys(histogram, 0), 0
-    for times, content, bucket in patterns(histogram, capacity, buckets):
+    for times, content, bucket in patterns(histogram, capacity, buckets, fill):
         for length, copies in content:
             rows.append((spec_id, length, used[length], used[length] + copies * times, copies, base, bucket))
             used[length] += copies * times
@@ -92,30 +122,48 @@ def plan_rows(spec_id: int, histogram: dict[int, int], capacity: int, buckets: i
     return rows
 
 
-def pack(spark: SparkSession, sizes: DataFrame, specs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _locator(rows: list[tuple]) -> Column:
+    """struct<container_id, bucket> of (spec_id, length, rank), by binary search in the plan ``rows``, which go along with the function."""
+    plan: dict[int, tuple[np.ndarray, ...]] = {}
+    for spec_id in {r[0] for r in rows}:
+        own = sorted((r[1] << _RANK_BITS | r[2], *r[2:]) for r in rows if r[0] == spec_id)
+        plan[spec_id] = tuple(np.array(column, dtype=np.int64) for column in zip(*own, strict=True))
+
+    def locate(spec: pa.Array, length: pa.Array, rank: pa.Array) -> pa.Array:
+        specs, lengths, ranks = (np.asarray(a).astype(np.int64) for a in (spec, length, rank))
+        container, bucket = np.zeros(len(specs), np.int64), np.zeros(len(specs), np.int32)
+        for spec_id in np.unique(specs):
+            at = np.flatnonzero(specs == spec_id)
+            keys, first, _, copies, base, buckets = plan[int(spec_id)]
+            row = np.searchsorted(keys, lengths[at] << _RANK_BITS | ranks[at], side="right") - 1
+            container[at] = base[row] + (ranks[at] - first[row]) // copies[row]
+            bucket[at] = buckets[row]
+        return pa.StructArray.from_arrays([pa.array(container), pa.array(bucket)], names=["container_id", "bucket"])
+
+    return F.arrow_udf(locate, "container_id bigint, bucket int")("spec_id", "length", "rank")
+
+
+def pack(spark: SparkSession, sizes: DataFrame, specs: DataFrame, buckets: int = BUCKETS, fill: bool = True) -> DataFrame:
     """(spec_id, container_id, bucket, doc_id, part_no, start_token, n_tokens) for every text and every capacity.
 
     ``sizes`` has doc_id and n_tokens, ``specs`` spec_id and capacity_tokens.  A
     text larger than the capacity is cut into full containers and a rest; any
     other stays whole.  Texts of size 0 lie in container 0.  Specs without a
     positive capacity give no rows.  The histogram and the plan brought to the
-    driver have at most ``capacity`` lengths for each spec.
+    driver have at most ``capacity`` lengths for each spec; every text meets every
+    spec, which is what is asked for, so the specs are the few rows of a setting.
     """
-    wanted = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("int").alias("capacity")).where("spec_id is not null and capacity > 0").dropDuplicates(["spec_id"])
-    measured = sizes.select("doc_id", F.col("n_tokens").cast("int").alias("size"))
-    parts = measured.join(F.broadcast(wanted)).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / F.col("capacity")).cast("int") - 1))))
+    wanted = {r.spec_id: r.capacity for r in specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("int").alias("capacity")).where("spec_id is not null and capacity > 0").groupBy("spec_id").agg(F.max("capacity").alias("capacity")).collect()}
+    pairs = F.array(*[F.struct(F.lit(k).cast("int").alias("spec_id"), F.lit(v).cast("int").alias("capacity")) for k, v in sorted(wanted.items())]) if wanted else F.expr("cast(array() as array<struct<spec_id int, capacity int>>)")
+    parts = sizes.select("doc_id", F.col("n_tokens").cast("int").alias("size"), F.explode(pairs).alias("spec")).select("doc_id", "size", "spec.*").withColumn("part_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / F.col("capacity")).cast("int") - 1))))
     parts = parts.withColumn("start_token", F.col("part_no") * F.col("capacity")).withColumn("length", F.least("capacity", F.col("size") - F.col("start_token"))).select("spec_id", "doc_id", "part_no", "start_token", "length")
     parts = cut_table(parts)
     counts: dict[int, dict[int, int]] = {}
     for row in parts.where("length > 0").groupBy("spec_id", "length").count().collect():
         counts.setdefault(row.spec_id, {})[row.length] = row["count"]
-    capacities = {row.spec_id: row.capacity for row in wanted.collect()}
-    rows = [r for spec_id, histogram in counts.items() for r in plan_rows(spec_id, histogram, capacities[spec_id], buckets)]
-    plan = spark.createDataFrame(rows, PLAN_SCHEMA).withColumnsRenamed({"spec_id": "p_spec", "length": "p_length"})
-    placed = ranked(parts.where("length > 0"), ["spec_id", "length"], ["doc_id", "part_no"]).join(
-        F.broadcast(plan), (F.col("spec_id") == F.col("p_spec")) & (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
-    )
-    found = placed.select("spec_id", (F.col("base") + F.floor((F.col("rank") - F.col("first")) / F.col("copies"))).alias("container_id"), "bucket", "doc_id", "part_no", "start_token", F.col("length").alias("n_tokens"))
+    rows = [r for spec_id, histogram in counts.items() for r in plan_rows(spec_id, histogram, wanted[spec_id], buckets, fill)]
+    placed = ranked(parts.where("length > 0"), ["spec_id", "length"], ["doc_id", "part_no"]).withColumn("place", _locator(rows))
+    found = placed.select("spec_id", "place.container_id", "place.bucket", "doc_id", "part_no", "start_token", F.col("length").alias("n_tokens"))
     empty = parts.where("length = 0").select("spec_id", F.lit(0).cast("bigint").alias("container_id"), F.lit(0).alias("bucket"), "doc_id", "part_no", "start_token", F.col("length").alias("n_tokens"))
     return found.unionByName(empty)
 

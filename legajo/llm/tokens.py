@@ -48,16 +48,19 @@ def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def ranked(items: DataFrame, group: list[str], order: list[str], rank: str = "rank", rows: int | None = None) -> DataFrame:
-    """``items`` with the 0-based place of each row within its group.
+    """``items`` with the 0-based place of each row within its group, by a hash of ``order``, then ``order``.
 
-    A group is spread over salts by a hash of ``order``; places are counted
+    A group is spread over salts, the leading bits of the hash; places are counted
     within (group, salt) and shifted by the counts of the salts before, so a group
-    that holds a third of all rows is ranked by many tasks.
+    that holds a third of all rows is ranked by many tasks, and the ranks do not
+    depend on the number of salts.
     """
     total = items.count() if rows is None else rows
-    salts = max(1, -(-total // ROWS_PER_TASK))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    bits = max(0, -(-total // ROWS_PER_TASK) - 1).bit_length()
+    hashed = items.withColumn("salt_hash", F.xxhash64(*order))
+    # the sign bit turned, the hash grows with its leading bits
+    salted = hashed.withColumn("salt", F.shiftrightunsigned(F.col("salt_hash").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("bigint"))
     before = Window.partitionBy(*group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = salted.groupBy(*group, "salt").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = salted.withColumn("place", F.row_number().over(Window.partitionBy(*group, "salt").orderBy(*order)) - 1)
-    return placed.join(shifts, [*group, "salt"]).withColumn(rank, (F.col("place") + F.col("shift")).cast("bigint")).drop("salt", "place", "shift")
+    placed = salted.withColumn("place", F.row_number().over(Window.partitionBy(*group, "salt").orderBy("salt_hash", *order)) - 1)
+    return placed.join(shifts, [*group, "salt"]).withColumn(rank, (F.col("place") + F.col("shift")).cast("bigint")).drop("salt", "salt_hash", "place", "shift")

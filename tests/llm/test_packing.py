@@ -34,6 +34,22 @@ def test_bounds_minimise_padding(histogram, buckets):
     assert len(bounds) <= buckets and padding(bounds) == best
 
 
+def test_the_bounds_decide(monkeypatch):
+    """Other bounds than the dynamic programme's give another packing, with and without filling."""
+    rng = random.Random(4)
+    histogram = {length: rng.randint(1, 9) for length in rng.sample(range(1, 200), 80)}
+    for fill in (True, False):
+        best = patterns(histogram, 200, 6, fill)
+        monkeypatch.setattr("legajo.llm.packing.bucket_bounds", lambda lengths, buckets: [max(lengths)])
+        single = patterns(histogram, 200, 6, fill)
+        monkeypatch.undo()
+        assert [c for _, c, _ in best] != [c for _, c, _ in single]
+    own = patterns(histogram, 200, 6, False)
+    bounds = bucket_bounds(histogram, 6)
+    assert all(len({next(b for b in bounds if b >= length) for length, _ in content}) == 1 for _, content, _ in own)
+    assert sum(t for t, _, _ in patterns(histogram, 200, 6)) < sum(t for t, _, _ in own)
+
+
 def test_containers(spark):
     rng = random.Random(1)
     sizes = [(i, rng.choice([0, 3, 3, 7, 19, 64, 65, 200])) for i in range(400)]
@@ -62,6 +78,9 @@ def test_ranks_within_a_hot_group(spark, monkeypatch):
     for r in ranked(items, ["k"], ["doc_id"]).collect():
         got[r.k].append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    few = {r.doc_id: r["rank"] for r in ranked(items, ["k"], ["doc_id"]).collect()}
+    monkeypatch.setattr("legajo.llm.tokens.ROWS_PER_TASK", 1000)
+    assert few == {r.doc_id: r["rank"] for r in ranked(items, ["k"], ["doc_id"]).collect()}
 
 
 def test_sizes(spark):
