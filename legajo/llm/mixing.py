@@ -1,27 +1,26 @@
 """Mixing sources to target shares of tokens by systematic sampling.
 
-A source that is to give ``share * total`` tokens repeats each of its documents
-``share * total / its tokens`` times on average.  Documents of a source are put
-in order of size; their expected copies are summed up from the first on, one
-random offset is added, and a copy is emitted for each whole number passed.  A
-document thus gets the floor or the ceiling of its expected copies, and long and
-short ones are drawn evenly.  Of ``DRAWS`` random offsets the one is kept whose
-tokens come nearest to the target, which matters where few documents are drawn;
-their sums are worked out on the histogram of sizes, not on the documents.
+A source that is to give so many tokens repeats each of its documents that many
+tokens divided by its own times on average.  Documents of a source are put in
+order of size; their expected copies are summed up from the first on, one random
+offset is added, and a copy is emitted for each whole number passed.  A document
+thus gets the floor or the ceiling of its expected copies, and long and short
+ones are drawn evenly.
+
+The mix is as large as the sources it names.  A source whose cap does not reach
+its share gives all that it has, each document as often as the cap allows; the
+others fill the mix in proportion to their shares.  The report names the tokens
+that each source falls short by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.session import cut_table
 from legajo.llm.tokens import ranked
 
-#: Random offsets tried for each source of a mix.
-DRAWS = 64
-
-
 def targets(mix: DataFrame) -> DataFrame:
     """(mix_id, source, share, cap): one row for each source of a mix, shares made to add up to 1.
 
@@ -33,27 +32,42 @@ def targets(mix: DataFrame) -> DataFrame:
     return known.withColumn("share", F.col("share") / F.sum("share").over(Window.partitionBy("mix_id")))
 
 
-def rates(sizes: DataFrame, mix: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(mix_id, source, target_share, cap, tokens, rate): expected copies of each document of a source.
+def rates(sizes: DataFrame, mix: DataFrame, total_tokens: int | None = None, exact_shares: bool = False) -> DataFrame:
+    """(mix_id, source, target_share, cap, tokens, wanted, rate): expected copies of each document of a source.
 
-    Without ``total_tokens`` a mix is as large as all its shares can be met, or
-    as its sources where no cap binds.  With it, a source whose cap is too low
-    gives what it has.  A source without tokens has rate 0, and the others share
-    the mix in proportion.
+    ``total_tokens`` is the size of a mix; without it, all tokens of its sources,
+    each once.  ``wanted`` is a source's share of it.  Sources are filled in
+    order of what their cap allows for each unit of share: one that cannot reach
+    its part of what is left gives all it has, and the rest is shared in
+    proportion.  With ``exact_shares`` a mix is instead no larger than all caps
+    allow at the exact shares, however small that is.  Sources without tokens
+    have rate 0.
     """
-    wanted = targets(mix)
+    asked = targets(mix)
     owned = sizes.groupBy(F.col("source").alias("o_source")).agg(F.sum("n_tokens").cast("bigint").alias("tokens"))
-    joined = wanted.join(owned, F.col("source") == F.col("o_source"), "left").drop("o_source").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    joined = asked.join(owned, F.col("source") == F.col("o_source"), "left").drop("o_source").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     whole = Window.partitionBy("mix_id")
     real = F.when(F.col("tokens") > 0, F.col("share"))
     joined = joined.withColumn("part", F.coalesce(real / F.sum(real).over(whole), F.lit(0.0)))
-    most = F.when((F.col("part") > 0) & F.col("cap").isNotNull(), F.col("cap") * F.col("tokens") / F.col("part"))
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.min(most).over(whole), F.sum("tokens").over(whole).cast("double"))
-    rate = F.when(F.col("tokens") > 0, F.col("part") * total / F.col("tokens")).otherwise(0.0)
-    return joined.select("mix_id", "source", F.col("share").alias("target_share"), "cap", "tokens", F.least(rate, F.col("cap").cast("double")).alias("rate"))
-
-
-def mixed(sizes: DataFrame, mix: DataFrame, seed: int = 42, total_tokens: int | None = None) -> DataFrame:
+    # the most tokens of a source, and the size of mix up to which that meets its share
+    joined = joined.withColumn("most", F.coalesce(F.col("cap") * F.col("tokens").cast("double"), F.lit(float("inf")))).withColumn("reach", F.when(F.col("part") > 0, F.col("most") / F.col("part")))
+    total = F.lit(float(total_tokens)) if total_tokens is not None else F.sum("tokens").over(whole).cast("double")
+    if exact_shares:
+        total = F.least(total, F.min("reach").over(whole)) if total_tokens is not None else F.coalesce(F.when(F.min("reach").over(whole) < float("inf"), F.min("reach").over(whole)), total)
+    joined = joined.withColumn("total", total)
+    # sources that reach less come first: what is left after them, for the shares that are left
+    before = Window.partitionBy("mix_id").orderBy(F.col("reach").asc_nulls_first(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.when(F.col("part") > 0, F.col("most")).otherwise(0.0)).over(before), F.lit(0.0))
+    parts_left = 1 - F.coalesce(F.sum("part").over(before), F.lit(0.0))
+    level = F.when((F.col("part") > 0) & (parts_left > 0), (F.col("total") - spent) / parts_left)
+    # the first source that the level does not exhaust sets the level for itself and all after it
+    joined = joined.withColumn("level", F.when(level <= F.col("reach"), level)).withColumn("level", F.min_by("level", F.when(F.col("level").isNotNull(), F.struct("reach", "source"))).over(whole))
+    given = F.least(F.col("most"), F.col("part") * F.coalesce("level", F.lit(float("inf"))))
+    rate = F.when((F.col("tokens") > 0) & (F.col("part") > 0), given / F.col("tokens")).otherwise(0.0)
+    return joined.select("mix_id", "source", F.col("share").alias("target_share"), "cap", "tokens", (F.col("part") * F.col("total")).alias("wanted"), rate.alias("rate"))
+
+
+def mixed(sizes: DataFrame, mix: DataFrame, seed: int = 42, total_tokens: int | None = None, exact_shares: bool = False) -> DataFrame:
     """(mix_id, source, doc_id, n_tokens, copies): documents of each mix, ``copies`` at least 1.
 
     ``sizes`` has doc_id, source and n_tokens; rows without a source take no
@@ -63,32 +77,24 @@ def mixed(sizes: DataFrame, mix: DataFrame, seed: int = 42, total_tokens: int |
     known = cut_table(known.join(targets(mix).select("source").distinct(), "source", "left_semi"))
     # the place of a document in its source by size: the smaller sizes before it, then its rank among equals
     before = Window.partitionBy("source").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    steps = known.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = ranked(known, ["source", "n_tokens"], ["doc_id"]).join(steps.drop("n"), ["source", "n_tokens"]).withColumn("place", F.col("rank") + F.col("before"))
-    offsets = _offsets(steps, rates(known, mix, total_tokens).where("rate > 0"), seed)
-    drawn = placed.join(F.broadcast(offsets), "source")  # one row for each source of a mix
-    copies = (_passed(F.col("place") + 1) - _passed(F.col("place"))).cast("int")
-    return drawn.select("mix_id", "source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0")
+    steps = known.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = ranked(known, ["source", "n_tokens"], ["doc_id"]).join(steps, ["source", "n_tokens"]).withColumn("place", F.col("rank") + F.col("before"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "source"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    drawn = rates(known, mix, total_tokens, exact_shares).where("rate > 0").select("mix_id", "source", "rate", offset.alias("offset"))
+    passed = lambda place: F.floor(F.col("offset") + F.col("rate") * place)
+    copies = (passed(F.col("place") + 1) - passed(F.col("place"))).cast("int")
+    # the rates are one row for each source of a mix; Spark broadcasts them if they are small
+    return placed.join(drawn, "source").select("mix_id", "source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
-def _passed(place: Column) -> Column:
-    """Whole numbers passed when the expected copies of ``place`` documents are summed up."""
-    return F.floor(F.col("offset") + F.col("rate") * place)
+def reached_shares(selection: DataFrame, sizes: DataFrame, mix: DataFrame, total_tokens: int | None = None, exact_shares: bool = False) -> DataFrame:
+    """(mix_id, source, target_share, reached_share, documents, copies, tokens, shortfall, most_repeats, max_repeats) of a selection.
 
-
-def _offsets(steps: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(mix_id, source, rate, offset): the best of the random offsets, by the sizes (source, n_tokens, n, before)."""
-    tried = wanted.select("mix_id", "source", "rate", (F.col("rate") * F.col("tokens")).alias("target")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    tried = tried.withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "mix_id", "source", "draw"), F.lit(1 << 32)) / F.lit(float(1 << 32)))
-    copies = _passed(F.col("before") + F.col("n")) - _passed(F.col("before"))
-    given = steps.join(F.broadcast(tried), "source").groupBy("mix_id", "source", "rate", "target", "draw", "offset").agg(F.sum(copies * F.col("n_tokens")).alias("given"))
-    return given.groupBy("mix_id", "source", "rate").agg(F.min_by("offset", F.struct(F.abs(F.col("given") - F.col("target")), "draw")).alias("offset"))
-
-
-def reached_shares(selection: DataFrame, sizes: DataFrame, mix: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(mix_id, source, target_share, reached_share, documents, copies, tokens, most_repeats, max_repeats) of a selection."""
+    ``shortfall`` is what a source lacks of its share of the mix because of its cap, in tokens.
+    """
     given = selection.groupBy("mix_id", "source").agg(F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("given"), F.max("copies").alias("most_repeats"))
-    joined = rates(sizes, mix, total_tokens).join(given, ["mix_id", "source"], "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    joined = rates(sizes, mix, total_tokens, exact_shares).join(given, ["mix_id", "source"], "left").withColumn("given", F.coalesce("given", F.lit(0)))
     whole = F.sum("given").over(Window.partitionBy("mix_id"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return joined.select("mix_id", "source", "target_share", F.coalesce(F.try_divide("given", whole), F.lit(0.0)).alias("reached_share"), zero("documents"), zero("copies"), F.col("given").alias("tokens"), zero("most_repeats"), F.col("cap").alias("max_repeats"))
+    lacking = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("wanted") - F.col("cap") * F.col("tokens")))
+    return joined.select("mix_id", "source", "target_share", F.coalesce(F.try_divide("given", whole), F.lit(0.0)).alias("reached_share"), zero("documents"), zero("copies"), F.col("given").alias("tokens"), F.coalesce(lacking, F.lit(0)).alias("shortfall"), zero("most_repeats"), F.col("cap").alias("max_repeats"))

@@ -97,6 +97,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(mixed(sizes, mix), sizes, mix)
 
 
+def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the mixes that are only as large as every cap allows."""
+    mix = table(spark, sf_dir, "mix_target")
+    sizes = cut_table(token_sizes(table(spark, sf_dir, "documents"), keep=("source",)))
+    return reached_shares(mixed(sizes, mix, exact_shares=True), sizes, mix, exact_shares=True)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"))
 
@@ -105,7 +112,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
