@@ -9,7 +9,7 @@ from legajo.functions.session import cut_table, table
 from legajo.llm.confusables import keyword_matches, same_looking, with_visible_form
 from legajo.llm.mixing import mixed, reached_shares
 from legajo.llm.packing import pack, usage
-from legajo.llm.repeated_lines import repeated_lines, without_repeated_lines
+from legajo.llm.repeated_lines import repeated_lines, without_repeated_lines, without_repeated_passages
 from legajo.llm.scans import ScanRepair
 from legajo.llm.sentences import fit_on, sentences
 from legajo.llm.stuffing import spam_shares, stuffed_pages
@@ -77,6 +77,10 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(_portal(spark, sf_dir))
 
 
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_passages(_portal(spark, sf_dir))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = token_sizes(table(spark, sf_dir, "documents"))
     return pack(spark, sizes, table(spark, sf_dir, "container_spec"))
@@ -112,7 +116,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p6_passages": p6_passages, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
