@@ -1,112 +1,108 @@
 """Sentence boundaries across languages and scripts by a linear-chain model.
 
-Every place where a sentence might end is a node of a chain: a terminator with
-the quotes and brackets that close after it, a line break, and, in scripts that
-put no marks between sentences, a blank.  Nodes are tagged *boundary* or
-*inside* and the best sequence of tags is found by Viterbi decoding.
-
-The weights are log ratios learnt from the text itself, with its line breaks
-stripped: a token that never stands last in a paragraph, or never first, though
-often met, does not end or begin sentences (titles, initials, units before a
-number), whatever mark follows it.  This works alike for abbreviations and for
-Thai, whose sentences are parted by blanks that also stand inside them.
+Every character is tagged *boundary* (the last of a sentence) or *inside*.  A
+character can be a boundary only where a mark that may end sentences stands, with
+the quotes and brackets that close after it, or, in scripts that put no marks
+between sentences, before a blank; all others are inside for certain, so the
+chain is decoded over the places that are open, the certain ones between them
+entering by their number.
+
+The model is a conditional random field with two tags: weights of features of the
+characters around a place, and weights of each pair of tags by the distance
+between two places.  Nobody has marked sentences; what is known of a text are the
+ends of its paragraphs.  So the texts are stripped of their line breaks, in
+scripts without marks of all punctuation as well, and the field is fitted to find
+the places again.  A boundary is at a line break with a probability that is
+estimated for each script; a place without one is a boundary or not, and its tag is
+summed out (fitting from positive and unlabelled places, by gradient).
+
+Which scripts go without marks is learnt, too: those whose paragraphs seldom end in
+one.  There are no word lists.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legajo.llm.confusables import visible_form
 
-#: Bound of the sample of texts that the model is fitted on.
-TRAIN_ROWS = 6000
-# Abbreviations that a name or number follows, and ones that may close a sentence.
-NEVER_LAST = frozenset(
-    "sr sra srta sres dr dra drs prof profa ing arq lic av avda cra cl kra art arts núm num no nro n.º cap vol pág pag p pp lit inc sec fig tab cf v vs d dña ud uds gral cnel tte sgto coop dpto res exp ref "
-    "mr mrs ms st jr rev hon gen col capt lt sgt approx est ca mme mlle m al assoc eng exmo ilmo г-н ул пр пл д-р им гл см рис табл стр डॉ श्री د أ".split()
-)
-MAY_END = frozenset("etc cía cia ltda s.a s.a.s e.s.p inc corp ltd co u.s a.m p.m ej д др إلخ आदि".split())
-
+#: Bounds of the sample that the model is fitted on: texts, and characters of a text that may be in it.
+TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+#: Steps of the fit, the weight of its penalty, and the least occurrences of a feature with a weight of its own.
+STEPS, PENALTY, LEAST_SEEN = 120, 0.8, 3
+#: Part of a script's usual rate of line breaks that a boundary is taken to have, for marks (0) and for blanks (1): languages and kinds of text
+#: differ in their rates, and a rate too high would take the boundaries of texts with few line breaks for none.
+RATE_PART = {"0": 0.45, "1": 0.5}
+#: Below this share of paragraphs that end in a mark a script counts as unmarked.
+MARKED_SHARE = 0.5
+
+# Marks that may end a sentence, closing and opening signs, pairs of quotes.
+STOPS = ".!?…؟۔।॥。！？"
 _CLOSE = "\"'»”’」』）)\\]"
-_THAI = "\u0e00-\u0e7f"
-_NODE = re.compile(
-    f"(?P<stop>[.!?…؟।॥]+(?:[{_CLOSE}]|[ \u00a0\u202f]»)*(?=\\s|$)|[。！？][。！？…]*[{_CLOSE}]*|…+[{_CLOSE}]*(?=[\u3000-\u9fff]))|(?P<line>\\n\\s*)|(?P<gap>(?<=[{_THAI}])[^\\S\\n]+(?=[{_THAI}0-9])|(?<=[0-9])[^\\S\\n]+(?=[{_THAI}]))"
-)
-_LAST = re.compile(r"\S+\Z")
-_FIRST = re.compile(r"\S+")
-_PARAGRAPH_END = re.compile(r"[^\S\n]*(?:\n|\Z)")
 _OPENERS = "\"'«“‘「『（([¿¡—-"
 _QUOTE_END = "\"»”’」』"
 _PAIRS = {"»": "«", "”": "“", "’": "‘", "」": "「", "』": "『", '"': '"'}
+_STOP = regex.compile(
+    # a mark with its closers before white space; ideographic marks anywhere; a mark without a blank after it, before a capital or an opening sign
+    f"[.!?…؟۔।॥]+(?:[{_CLOSE}]|[ \u00a0\u202f]»)*(?=\\s|$)|[。！？][。！？…]*[{_CLOSE}]*|…+[{_CLOSE}]*(?=[\u3000-\u9fff])|(?<=[\\p{{Ll}}\\p{{Lo}}\\p{{Mn}}\\p{{N}}])[.!?؟۔।॥]+[»”\"]*(?=\\p{{Lu}}\\p{{Ll}}|[¿¡«“]|\\p{{Lu}}[\\p{{Mn}}\u200b-\u200d\u2060\ufeff\u00ad]*[\\p{{Ll}} ])"
+)
+_GAP = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
+_LINE = re.compile(r"[^\n]+")
+_LAST = re.compile(r"\S+\Z")
+_FIRST = re.compile(r"\S+")
+_BUCKETS = 8
 
 
 @dataclass
 class Model:
-    """Log ratios by key; ``floor`` is the least that one feature can say."""
+    """Weights of a boundary by feature, and of (kind of place, distance, tag before, tag); scripts without marks."""
 
-    last: dict[str, float] = field(default_factory=dict)
-    first: dict[str, float] = field(default_factory=dict)
-    #: log odds that a terminator (a blank, for unmarked scripts) ends a sentence before anything else is known
-    prior: float = 1.5
-    gap_prior: float = 1.2
-    #: transition: two boundaries with at most one token between them
-    short: float = -0.75
-    floor: float = -6.0
+    weights: dict[str, float] = field(default_factory=dict)
+    transitions: list = field(default_factory=lambda: np.zeros((2, _BUCKETS, 2, 2)).tolist())
+    unmarked: tuple[str, ...] = ()
 
 
-def _prior(key: str) -> float:
-    bare = key.rsplit(" ", 1)[-1]
-    if bare in NEVER_LAST or bare == "INITIAL":
-        return 0.02
-    return 0.8 if key in MAY_END else 0.9
+@lru_cache(maxsize=20_000)
+def script(ch: str) -> str:
+    """The script of a letter, by the name that Unicode gives it; empty for all else."""
+    return unicodedata.name(ch, "").split(" ", 1)[0].split("-")[0] if ch.isalpha() else ""
 
 
-def last_key(text: str, end: int, start: int = 0) -> str:
-    """What stands before a terminator at ``end``: a short or dotted token itself, a digit for numbers, else the class of words."""
-    window = text[max(start, end - 40) : end]
-    token = _LAST.search(window)
-    if not token:
-        return "NONE"
-    word = token[0].lstrip(_OPENERS)
-    if not word.isascii():
-        word = visible_form(word) or ""
+@lru_cache(maxsize=16)
+def _letters_of(scripts: tuple[str, ...]) -> regex.Pattern:
+    return regex.compile("[" + "".join(rf"\p{{Script={ {'CJK': 'Han'}.get(s, s.title()) }}}" for s in scripts) + "]")
+
+
+@lru_cache(maxsize=100_000)
+def _plain(word: str) -> str:
+    """What is read of ``word``, without case."""
+    return word.lower() if word.isascii() else (visible_form(word) or "").lower()
+
+
+@lru_cache(maxsize=50_000)
+def _shape(word: str) -> str:
     if any(c.isdigit() for c in word):
-        return "NUMBER"
-    if len(word) == 1:
-        before = _LAST.search(window[: token.start()].rstrip())
-        previous = before[0].lower() if before else ""
-        if word.isupper():
-            return f"{previous} INITIAL" if len(previous) <= 2 and previous.isalpha() else "INITIAL"
-        return f"{previous} {word}" if len(previous) <= 3 else word
-    return word.lower() if len(word) <= 5 or "." in word else "WORD"
-
-
-def gap_keys(text: str, start: int, end: int) -> tuple[str, str]:
-    """Keys on both sides of a blank in an unmarked script: four letters, or a digit with what stands before it."""
-    left = text[max(0, start - 30) : start]
-    token = _LAST.search(left)
-    word = visible_form(token[0]) if token else ""
-    if word and word[-1].isdigit():
-        before = _LAST.search(left[: token.start()].rstrip())
-        last = "0" + (visible_form(before[0])[-3:] if before else "")
-    else:
-        last = word[-4:]
-    following = _FIRST.match(text, end)
-    first = visible_form(following[0][:12])[:4] if following else ""
-    return "TH " + last, "TH " + ("0" if first[:1].isdigit() else first)
+        return "0"
+    letters = "".join(c for c in word if c.isalpha())
+    kind = "U" if letters.isupper() else "T" if letters[:1].isupper() else "l"
+    return f"{kind}{min(len(letters), 6)}{'.' if '.' in word else ''}"
 
 
-def first_class(text: str, at: int) -> str:
-    """Class of the character that comes after a terminator."""
-    while at < len(text) and text[at].isspace():
+def _kind(text: str, at: int) -> str:
+    """Class of the character that comes after a place."""
+    while at < len(text) and (text[at].isspace() or unicodedata.category(text[at]) == "Cf"):
         at += 1
     if at >= len(text):
         return "END"
@@ -116,136 +112,259 @@ def first_class(text: str, at: int) -> str:
     return "LOWER" if c.islower() else "UPPER" if c.isupper() else "DIGIT" if c.isdigit() else "LETTER" if c.isalpha() else "OTHER"
 
 
-def fit(texts: list[str]) -> Model:
-    """Weights from texts whose line breaks are paragraph ends."""
-    ends, seen, starts, met = Counter(), Counter(), Counter(), Counter()
-    for text in texts:
-        text = text.strip()
-        for node in _NODE.finditer(text + "\n"):
-            if node.lastgroup == "stop":
-                if node[0][0] == ".":
-                    closing = _PARAGRAPH_END.match(text, node.end()) is not None
-                    kind = first_class(text, node.end())
-                    if closing or kind in ("UPPER", "OPEN", "DIGIT", "LETTER"):
-                        key = last_key(text, node.start())
-                        seen[key] += 1
-                        ends[key] += closing
-            elif node.lastgroup == "gap":
-                last, first = gap_keys(text, node.start(), node.end())
-                seen[last] += 1
-                met[first] += 1
-            elif re.search(f"[{_THAI}]", text[max(0, node.start() - 12) : node.start()]):
-                last, _ = gap_keys(text, len(text[: node.start()].rstrip()), node.end())
-                seen[last] += 1
-                ends[last] += 1
-                if node.end() < len(text):
-                    _, first = gap_keys(text, node.start(), node.end())
-                    met[first] += 1
-                    starts[first] += 1
-        if re.match(f"[{_THAI}]", text):
-            _, first = gap_keys(" " + text, 0, 1)
-            met[first] += 1
-            starts[first] += 1
-
-    def ratios(hits: Counter, total: Counter, keys: list[str], rate: float) -> dict[str, float]:
-        known = lambda k: 4.0 if k[:3] == "TH " or k in MAY_END or _prior(k) < 0.1 else 12.0  # noqa: E731 - ordinary words need more evidence
-        return {k: math.log((hits[k] + known(k) * rate * _prior(k)) / (rate * (total[k] + known(k)))) for k in keys}
-
-    def typical(hits: Counter, total: Counter, keys: list[str]) -> float:
-        """Share of sentence ends (starts) at a paragraph's edge: the upper quartile over well-met keys."""
-        shares = sorted(hits[k] / total[k] for k in keys if total[k] >= 8)
-        return max(0.02, shares[(3 * len(shares)) // 4]) if shares else 0.2
-
-    marked, gaps, heads = [k for k in seen if k[:3] != "TH "], [k for k in seen if k[:3] == "TH "], list(met)
-    rate = max(0.02, ends["WORD"] / seen["WORD"]) if seen["WORD"] else 0.2
-    return Model(last=ratios(ends, seen, marked, rate) | ratios(ends, seen, gaps, typical(ends, seen, gaps)), first=ratios(starts, met, heads, typical(starts, met, heads)))
-
-
-def _opened(text: str, quote: str, at: int, start: int) -> int:
-    """Where the quote closed at ``at`` was opened, -1 if not within the sentence's reach."""
-    return text.rfind(_PAIRS.get(quote, quote), start, at)
-
-
-def _score(text: str, node: re.Match, floor_at: int, model: Model) -> float:
-    """Log odds of *boundary* for a node that is not forced."""
-    if node.lastgroup == "gap":
-        last, first = gap_keys(text, node.start(), node.end())
-        if last[3:4] == "0" and last[3:] == "0":
-            return model.floor
-        return model.gap_prior + max(model.floor, model.last.get(last, -0.5)) + max(model.floor, model.first.get(first, -0.5))
-    stop = node[0]
-    kind = first_class(text, node.end())
-    if kind in ("LOWER", "OTHER"):
-        return model.floor
+def stop_features(text: str, start: int, end: int, floor: int) -> list[str]:
+    """Features of a mark that stands at ``start`` with its closers up to ``end``; its line begins at ``floor``."""
+    stop = text[start:end]
+    mark = "…" if stop[0] == "…" or stop.startswith("..") else stop[0]
+    kind = _kind(text, end)
+    glued = "+" if end < len(text) and not text[end].isspace() else ""
+    window = text[max(floor, start - 40) : start]
+    token = _LAST.search(window)
+    raw = token[0].lstrip(_OPENERS) if token else ""
+    word = _plain(raw)
+    after = _FIRST.match(text, end + (0 if glued else len(text[end : end + 8]) - len(text[end : end + 8].lstrip())))
+    following = _plain(after[0][:16].strip(_OPENERS))[:6] if after else ""
     quote = next((c for c in reversed(stop) if c in _QUOTE_END), "")
+    found = ["stop", f"m{mark}", f"k{kind}", f"mk{mark}{kind}{glued}", f"mq{mark}{bool(quote)}{kind}"]
     if quote:
-        opened = _opened(text, quote, node.start(), floor_at)
-        before = text[max(0, opened - 3) : max(0, opened)].rstrip()[-1:] if opened >= 0 else ""
-        if kind == "LETTER" and before not in (":", "："):
-            return model.floor  # no case to tell by: a quotation that opens its sentence goes on
-        return 3.0
-    mark = stop[0]
-    if mark == "…" or stop.startswith(".."):
-        return model.floor if kind == "LETTER" else 0.5
-    if mark != ".":
-        return 4.0
-    key = last_key(text, node.start())
-    left = model.last.get(key)
-    if left is None:
-        left = math.log(_prior(key))
-    return model.prior + max(model.floor, left) - (0.3 if kind == "DIGIT" else 0.0)
+        opened = text.rfind(_PAIRS.get(quote, quote), floor, start)
+        before = text[max(0, opened - 3) : max(0, opened)].rstrip()[-1:] if opened >= 0 else "?"
+        sign = before if not before.isalnum() else "w"
+        found += [f"qc{sign in (':', '：')}{kind}", f"qb{sign}{kind}", f"qmb{mark}{sign}{kind}"]
+    elif mark in "….":
+        shape = _shape(raw)
+        script_ = script(raw[-1:])
+        found += [f"s{mark}{shape}", f"sk{mark}{shape}{kind}{glued}", f"x{script_}{mark}{shape[0]}"]
+        if mark == "." and len(word) <= 10:
+            found += [f"w{word}", f"wk{word}|{kind}"]
+            if len(word) <= 3:
+                previous = _LAST.search(window[: token.start()].rstrip()) if token else None
+                found.append(f"p{_plain(previous[0]) if previous and len(previous[0]) <= 6 else _shape(previous[0]) if previous else ''} {word}")
+        found.append(f"n{mark}{following}")
+    return found
+
+
+def gap_features(text: str, start: int, end: int) -> list[str]:
+    """Features of a blank from ``start`` to ``end`` in a script without marks."""
+    token = _LAST.search(text[max(0, start - 30) : start])
+    left = _plain(token[0]) if token else ""
+    after = _FIRST.match(text, end)
+    right = _plain(after[0][:16]) if after else ""
+    found = ["gap"]
+    if left[-1:].isdigit():
+        previous = _LAST.search(text[max(0, start - 50) : start - len(token[0])].rstrip())
+        found += ["L0", f"L0{_plain(previous[0])[-4:] if previous else ''}"]
+    else:
+        found += [f"L{n}{left[-n:]}" for n in (2, 3, 4, 6)]
+    if right[:1].isdigit():
+        found += ["R0", f"R0L{left[-3:]}"]
+    else:
+        found += [f"R{n}{right[:n]}" for n in (2, 3, 4, 6)]
+    found.append(f"LR{'0' if left[-1:].isdigit() else left[-2:]}|{'0' if right[:1].isdigit() else right[:2]}")
+    return found
 
 
-def sentence_ends(text: str, model: Model, soft_lines: bool = False) -> list[int]:
-    """Offsets just after the last character of each sentence of ``text``, in order.
+def open_places(text: str, start: int, end: int, unmarked: tuple[str, ...]) -> list[tuple[int, int, int, int]]:
+    """(offset after the last character, start of the mark or blank, its end, 0 for marks and 1 for blanks) of one line of ``text``, in order."""
+    found = [(m.end(), m.start(), m.end(), 0) for m in _STOP.finditer(text, start, end)]
+    if unmarked:
+        letters = _letters_of(unmarked)
+        if letters.search(text, start, end):
+            taken = {place for place, *_ in found}
+            for m in _GAP.finditer(text, start, end):
+                near = text[max(start, m.start() - 2) : m.start()] + text[m.end() : m.end() + 1]
+                if m.start() not in taken and (letters.search(near) or near[-1:].isdigit() and letters.search(text, max(start, m.start() - 12), m.start())):
+                    found.append((m.start(), m.start(), m.end(), 1))
+            found.sort()
+    return found
+
+
+def _bucket(distance: int) -> int:
+    return min(_BUCKETS - 1, max(0, int(distance).bit_length() - 1))
 
-    With ``soft_lines`` (scanned pages) a single line break is white space and
-    only an empty line ends a paragraph.  A text without visible characters has
-    no sentences.
+
+@dataclass
+class Chain:
+    """Open places of one stripped text: features, kinds, distances, whether a line break stood there, and the script."""
+
+    features: list[list[str]]
+    kinds: list[int]
+    buckets: list[int]
+    broken: list[bool]
+    scripts: list[str]
+
+
+def stripped_chain(text: str, unmarked: tuple[str, ...], seed: int = 0) -> Chain | None:
+    """The chain of ``text`` without its line breaks (and, in unmarked scripts, without marks); after wide characters and at every fourth break no blank is left."""
+    lines = [m[0].strip() for m in _LINE.finditer(text) if m[0].strip()]
+    if unmarked:
+        letters = _letters_of(unmarked)
+        lines = [regex.sub(f"[{STOPS}]+(?=\\s|$)", "", line).rstrip() if letters.search(line) else line for line in lines]
+        lines = [line for line in lines if line]
+    if not lines:
+        return None
+    joined, breaks = lines[0], set()
+    for i, line in enumerate(lines[1:]):
+        breaks.add(len(joined))
+        wide = unicodedata.east_asian_width(joined[-1]) in "WF"
+        bare = wide or line[0].isupper() and joined[-1] in STOPS and (seed + i) % 4 == 0
+        joined += line if bare else " " + line
+    chain, previous, floor = Chain([], [], [], [], []), 0, 0
+    for place, a, b, kind in open_places(joined, 0, len(joined), unmarked):
+        if place >= len(joined):
+            break
+        chain.features.append(gap_features(joined, a, b) if kind else stop_features(joined, a, b, floor))
+        chain.kinds.append(kind)
+        chain.buckets.append(_bucket(place - previous))
+        chain.broken.append(place in breaks)
+        chain.scripts.append(script(next((c for c in reversed(joined[max(0, a - 12) : a]) if c.isalpha()), "")) + str(kind))
+        previous = place
+        if place in breaks:
+            floor = place
+    return chain if chain.features else None
+
+
+def unmarked_scripts(texts: list[str]) -> tuple[str, ...]:
+    """Scripts whose paragraphs seldom end in a mark, by paragraphs of twenty characters and more."""
+    ends: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for text in texts:
+        for m in _LINE.finditer(text):
+            line = m[0].rstrip(" \t\u200b\u2060\ufeff" + _CLOSE.replace("\\", ""))
+            letter = next((c for c in reversed(line) if c.isalpha()), "")
+            if len(line) >= 20 and letter:
+                own = ends[script(letter)]
+                own[0] += 1
+                own[1] += line[-1] in STOPS
+    return tuple(sorted(s for s, (n, marked) in ends.items() if n >= 10 and marked < MARKED_SHARE * n))
+
+
+def _break_rates(chains: list[Chain]) -> dict[str, float]:
+    """How often a boundary of each script is at a line break: the upper quartile over well-met features of what stands before."""
+    seen: dict[str, Counter] = defaultdict(Counter)
+    hits: dict[str, Counter] = defaultdict(Counter)
+    for chain in chains:
+        for found, name, broken in zip(chain.features, chain.scripts, chain.broken, strict=True):
+            key = next((f for f in found if f[:2] in ("sk", "L4", "L0")), found[3] if len(found) > 3 else found[0])
+            seen[name][key] += 1
+            hits[name][key] += broken
+    rates = {}
+    for name, counts in seen.items():
+        shares = sorted((hits[name][k] / n, n) for k, n in counts.items() if n >= 8)
+        total, run, rate = sum(n for _, n in shares), 0, 0.2
+        for share, n in shares:
+            run += n
+            rate = share
+            if run >= 0.75 * total:
+                break
+        rates[name] = min(0.9, max(0.01, rate * RATE_PART[name[-1]]))
+    return rates
+
+
+def _lattice(scores: np.ndarray, transitions: np.ndarray, kinds: np.ndarray, buckets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals of a boundary, of each pair of tags) at the places of chains given longest first.
+
+    ``scores`` has a column for each tag; ``spans`` are (start, length) of the chains.
     """
-    visible = len(text.rstrip())
-    places: list[int] = []
-    scores: list[float] = []
-    paragraph = 0
-    for node in _NODE.finditer(text):
-        if node.lastgroup == "line":
-            if soft_lines and node[0].count("\n") < 2:
-                continue
-            end, score = len(text[paragraph : node.start()].rstrip()) + paragraph, math.inf
-            paragraph = node.end()
-        else:
-            end = node.start() if node.lastgroup == "gap" else node.end()
-            score = math.inf if end >= visible else _score(text, node, paragraph, model)
-        if not 0 < end <= visible or places and end <= places[-1]:
-            if places and end == places[-1]:
-                scores[-1] = max(scores[-1], score)
-            continue
-        places.append(end)
-        scores.append(score)
-    if visible and (not places or places[-1] < visible):
-        places.append(visible)
-        scores.append(math.inf)
-    return [p for p, tag in zip(places, _viterbi(text, places, scores, model), strict=True) if tag]
-
-
-def _viterbi(text: str, places: list[int], scores: list[float], model: Model) -> list[bool]:
-    """The best tags; a boundary is forced where its score is infinite."""
-    if not places:
-        return []
+    starts, lengths = spans[:, 0], spans[:, 1]
+    longest = int(lengths[0])
+    active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(longest + 1)]  # chains longer than t
+    forward, backward = np.zeros_like(scores), np.zeros_like(scores)
+    steps = transitions[kinds, buckets]  # place, tag before, tag
+    at = starts
+    forward[at] = scores[at] + steps[at, 1]  # a text's beginning counts as a boundary before it
+    for t in range(1, longest):
+        at = starts[: active[t]] + t
+        pairs = forward[at - 1][:, :, None] + steps[at]
+        forward[at] = scores[at] + np.logaddexp(pairs[:, 0], pairs[:, 1])
+    for t in range(longest - 1, 0, -1):
+        at = starts[: active[t]] + t
+        pairs = steps[at] + (scores[at] + backward[at])[:, None, :]
+        backward[at - 1] = np.logaddexp(pairs[:, :, 0], pairs[:, :, 1])
+    ends = starts + lengths - 1
+    totals = np.logaddexp(forward[ends, 0], forward[ends, 1])
+    owner = np.empty(len(scores))
+    owner[np.repeat(starts - np.r_[0, lengths.cumsum()[:-1]], lengths) + np.arange(len(scores))] = np.repeat(totals, lengths)
+    marginal = np.exp(forward[:, 1] + backward[:, 1] - owner)
+    before = np.full_like(scores, -np.inf)
+    inner = np.ones(len(scores), bool)
+    inner[starts] = False
+    before[inner] = forward[np.flatnonzero(inner) - 1]
+    before[starts, 1] = 0.0
+    return marginal, np.exp(before[:, :, None] + steps + (scores + backward)[:, None, :] - owner[:, None, None])
+
+
+def fit_chains(chains: list[Chain], steps: int = STEPS, use_transitions: bool = True) -> tuple[dict[str, float], np.ndarray]:
+    """Weights and transitions that make the line breaks of ``chains`` most probable (Adam on the marginal likelihood)."""
+    chains = sorted((c for c in chains if c), key=lambda c: -len(c.kinds))
+    counts = Counter(f for c in chains for found in c.features for f in found)
+    names = [f for f, n in counts.items() if n >= LEAST_SEEN]
+    if not names:
+        return {}, np.zeros((2, _BUCKETS, 2, 2))
+    index = {f: i + 1 for i, f in enumerate(names)}
+    width = max(len(found) for c in chains for found in c.features)
+    rows = [found for c in chains for found in c.features]
+    matrix = np.zeros((len(rows), width), np.int32)
+    for i, found in enumerate(rows):
+        own = [index[f] for f in found if f in index]
+        matrix[i, : len(own)] = own
+    kinds, buckets = (np.array([v for c in chains for v in getattr(c, name)]) for name in ("kinds", "buckets"))
+    broken = np.array([v for c in chains for v in c.broken])
+    lengths = np.array([len(c.kinds) for c in chains])
+    spans = np.stack([np.r_[0, lengths.cumsum()[:-1]], lengths], axis=1)
+    rates = _break_rates(chains)
+    rate = np.array([rates[v] for c in chains for v in c.scripts])
+    # what is seen of a place, given its tag: a line break only at boundaries, and there with the rate of the script
+    seen = np.stack([np.where(broken, -30.0, 0.0), np.where(broken, np.log(rate), np.log1p(-rate))], axis=1)
+    double = np.concatenate([spans, spans + np.array([len(rows), 0])])
+    double = double[np.argsort(-double[:, 1], kind="stable")]
+    kinds2, buckets2 = np.r_[kinds, kinds], np.r_[buckets, buckets]
+    weights = np.zeros(len(names) + 1)
+    for name, start in (("stop", 1.0), ("gap", 0.0)):
+        if name in index:
+            weights[index[name]] = start
+    arcs = np.zeros((2, _BUCKETS, 2, 2))
+    moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(arcs), np.zeros_like(arcs)]
+    flat, cell = matrix.ravel(), kinds * _BUCKETS + buckets
+    for step in range(1, steps + 1):
+        score = np.zeros((2 * len(rows), 2))
+        score[:, 1] = np.tile(weights[matrix].sum(axis=1), 2)
+        score[: len(rows)] += seen
+        marginal, pairs = _lattice(score, arcs, kinds2, buckets2, double)
+        pull = marginal[: len(rows)] - marginal[len(rows) :]
+        grad = np.bincount(flat, np.repeat(pull, width), len(weights)) - PENALTY * weights
+        grad[0] = 0
+        slope = np.zeros_like(arcs)
+        if use_transitions:
+            gained = (pairs[: len(rows)] - pairs[len(rows) :]).reshape(len(rows), 4)
+            slope = np.stack([np.bincount(cell, gained[:, i], 2 * _BUCKETS) for i in range(4)], axis=1).reshape(arcs.shape) - PENALTY * arcs
+        for value, g, m, v in ((weights, grad, moments[0], moments[1]), (arcs, slope, moments[2], moments[3])):
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            v += 0.01 * g * g
+            value += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    return {f: round(float(weights[i]), 3) for f, i in index.items() if abs(weights[i]) >= 0.02}, arcs
+
+
+def fit(texts: list[str], steps: int = STEPS, use_transitions: bool = True) -> Model:
+    """A model from texts whose line breaks are paragraph ends."""
+    texts = [t for t in texts if t]
+    unmarked = unmarked_scripts(texts)
+    chains = [c for i, t in enumerate(texts) if (c := stripped_chain(t, unmarked, i))]
+    weights, arcs = fit_chains(chains, steps, use_transitions)
+    return Model(weights, arcs.tolist(), unmarked)
+
+
+def _decode(scores: list[float], kinds: list[int], buckets: list[int], transitions: list) -> list[bool]:
+    """The best tags by Viterbi: true for boundaries."""
+    inside, boundary = -math.inf, 0.0
     back: list[tuple[bool, bool]] = []
-    inside, boundary = 0.0, -1e9
-    previous = 0
-    for place, score in zip(places, scores, strict=True):
-        near = model.short if place - previous < 25 and len(text[previous:place].split()) <= 1 else 0.0
-        from_inside = boundary <= inside
-        best_inside = max(inside, boundary)
-        ends_from_inside = boundary + near <= inside
-        best_boundary = max(inside, boundary + near) + (1e6 if score == math.inf else score)
-        back.append((not from_inside, not ends_from_inside))
-        inside, boundary = (best_inside if score != math.inf else -1e12), best_boundary
-        if score == math.inf:
-            boundary -= 1e6
-        previous = place
+    for score, kind, bucket in zip(scores, kinds, buckets, strict=True):
+        arc = transitions[kind][bucket]
+        a, b = inside + arc[0][0], boundary + arc[1][0]
+        c, d = inside + arc[0][1], boundary + arc[1][1]
+        back.append((b > a, d > c))
+        inside, boundary = max(a, b), score + max(c, d)
     tag = boundary > inside
     tags = []
     for to_inside, to_boundary in reversed(back):
@@ -254,9 +373,36 @@ def _viterbi(text: str, places: list[int], scores: list[float], model: Model) ->
     return tags[::-1]
 
 
+def sentence_ends(text: str, model: Model, soft_lines: bool = False) -> list[int]:
+    """Offsets just after the last character of each sentence of ``text``, in order.
+
+    A line break ends a sentence; with ``soft_lines`` (scanned pages) a single
+    one is white space and only an empty line does.  A text without visible
+    characters has no sentences.
+    """
+    out: list[int] = []
+    weights = model.weights
+    at = 0
+    spans = [(m.start(), m.end()) for m in regex.finditer(r"(?:[^\n]|\n(?!\s*\n))+" if soft_lines else r"[^\n]+", text)]
+    for a, b in spans:
+        line_end = a + len(text[a:b].rstrip())
+        start = line_end - len(text[a:line_end].lstrip())
+        if start >= line_end:
+            continue
+        places = [p for p in open_places(text, start, line_end, model.unmarked) if p[0] < line_end]
+        if places:
+            scores = [sum(weights.get(f, 0.0) for f in (gap_features(text[:line_end], x, y) if kind else stop_features(text[:line_end] if line_end < len(text) else text, x, y, start))) for _, x, y, kind in places]
+            offsets = [p[0] for p in places]
+            tags = _decode(scores, [p[3] for p in places], [_bucket(p - q) for p, q in zip(offsets, [start, *offsets])], model.transitions)
+            out += [p for p, tag in zip(offsets, tags, strict=True) if tag]
+        out.append(line_end)
+        at = b
+    return out
+
+
 def fit_on(texts: DataFrame, content: str = "content", rows: int = TRAIN_ROWS) -> Model:
-    """A model fitted on the ``rows`` texts of smallest hash, a bounded and repeatable sample."""
-    known = texts.select(F.col(content).alias("content")).where("content is not null")
+    """A model fitted on the ``rows`` texts of smallest hash with at most ``TRAIN_CHARS`` characters, a bounded and repeatable sample."""
+    known = texts.select(F.col(content).alias("content")).where(F.col("content").isNotNull() & (F.length("content") <= TRAIN_CHARS))
     # a hash threshold first, so that no task sends more than its share of the sample to the driver
     part = min(1.0, 1.2 * rows / max(1, known.count()))
     near = known.withColumn("place", F.pmod(F.xxhash64("content"), F.lit(1 << 40))).where(F.col("place") < int(part * (1 << 40)))
