@@ -1,4 +1,4 @@
-from legajo.llm.stuffing import spam_shares, stuffed_pages
+from legajo.llm.stuffing import Languages, learn_languages, profile, spam_shares, stuffed_pages
 
 PLACES = ["Loma Alta", "San Lirio del Paso", "Las Brumas", "El Cortijo", "Pozo Nuevo", "Villa Clara", "Corral de Nubes", "La Palma"]
 MANY = PLACES + ["Alto Rumor", "Bajo Seco", "La Honda", "Monte Perdiz", "Tierra Gacha", "El Olvido", "Aguas Zarcas", "Punta Caracola", "Media Cuesta", "El Guásimo"]
@@ -38,3 +38,28 @@ def test_pages(spark):
 def test_very_long_page(spark):
     docs = spark.createDataFrame([(1, "trámites en línea " * 40_000)], "doc_id bigint, text string")
     assert stuffed_pages(docs).count() == 1
+
+
+RUSSIAN = ["Совет утвердил план развития села на {i} год без изменений.", "Жители села не знают, когда откроют школу №{i}.", "Для {i} семей по программе построили колодцы и мосты.", "Почему средства на дороги к селу не поступили в {i} году?"]
+CHINESE = ["南岚镇政府在{i}年为村民修建了图书室。", "白渡的公路资金为什么没有到位？", "会议决定把期限延长到{i}年，但没有说明理由。", "青梧的供水覆盖率提高到{i}%，高于上一年。"]
+
+
+def test_other_scripts_are_learnt(spark):
+    """Stuffed pages in scripts without a list of function words; every text about {i} is an honest one."""
+    rows = [(i, " ".join(form.format(i=10 + (i * 7 + k * k) % 80) for k, form in enumerate(own[i % 4 :] + own[: i % 4]) if (i + k) % 5), "ru" if own is RUSSIAN else None) for own in (RUSSIAN, CHINESE) for i in range(40)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    rows += [(900, "купить дешевые телефоны москва " * 60, "ru"), (901, "购买便宜手机北京" * 60, "zh"), (902, "купить телефоны, дешевые цены, телефоны москва, " * 30, None), (903, "购买便宜手机，北京手机商店，" * 40, "zh")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learnt = learn_languages(docs)
+    assert {"на", "не"} <= learnt.words["CYRILLIC"] and "села" not in learnt.words["CYRILLIC"] and {"的", "到"} & learnt.words["CJK"]
+    assert {r.doc_id for r in stuffed_pages(docs).collect()} == {900, 901, 902, 903}
+
+
+def test_calibration_is_per_language(spark):
+    """The same share of a phrase is usual in one language's texts and not in another's."""
+    words = Languages()
+    page = "tarifa agua, " * 3 + "La alcaldía presentó el plan en la vereda. " * 12
+    assert profile(page, words)[0] == "es" and profile("", words)[4] == 0
+    usual = [(i, "El plan de agua y el plan de vías siguen en la vereda. " * (3 + i % 3), "es") for i in range(30)]
+    docs = spark.createDataFrame(usual, "doc_id bigint, text string, lang string")
+    assert stuffed_pages(docs).count() == 0
