@@ -9,7 +9,9 @@ numbers, words broken at line ends, and words with wrongly recognised letters.
   page number is a constant of the source, which is estimated from all its pages.
 * Misread words: words are grouped by the skeleton that all confusable glyphs
   share.  A rare form that a common form of its group turns into under the known
-  confusions is a misreading of it.
+  confusions is a misreading of it.  Where several forms could be meant, or the
+  form is not much commoner, the words beside decide: the form that stands beside
+  the same neighbours elsewhere is chosen.
 * Broken words: the joined word must occur unbroken (or be a misreading of one
   that does); else a pair that keeps recurring is a compound that owns its hyphen.
 
@@ -24,7 +26,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,16 +39,23 @@ CONFUSIONS = {
     "rn": ("m",), "cl": ("d",),
 }
 # The same glyphs reduced to what all their readings have in common.
-_SKELETON = str.maketrans({"e": "c", "m": "rri", "n": "ri", "d": "ci", "0": "o", "ó": "o", "6": "o", "u": "ii", "1": "i", "l": "i", "j": "i", "í": "i", "f": "t", "y": "v", "w": "vv", "h": "b", "8": "b", "ñ": "ti", "q": "g", "5": "s", "2": "z"})
+_SKELETON_TABLE = {"e": "c", "m": "rri", "n": "ri", "d": "ci", "0": "o", "ó": "o", "6": "o", "u": "ii", "1": "i", "l": "i", "j": "i", "í": "i", "f": "t", "y": "v", "w": "vv", "h": "b", "8": "b", "ñ": "ti", "q": "g", "5": "s", "2": "z"}
+_SKELETON = str.maketrans(_SKELETON_TABLE)
 MARKS = "-‐¬­"
 #: Largest table of misread words that is broadcast; a larger one is joined by shuffle.
 BROADCAST_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
+#: Lines from the top and the bottom of a page among which its header or footer stands.
+EDGE_TOP, EDGE_BOTTOM = 2, 3
+#: A correction needs a form this many times as common, or, with this share of its neighbours in support, that many times.
+RATIO, CONTEXT_RATIO, CONTEXT_SHARE = 5.0, 2.0, 0.75
+#: Digits of a page number.
+PAGE_DIGITS = 9
 _NUMBER = r"[0-9lIOoSB]*[0-9][0-9lIOoSB]*|[lIO]{1,3}|[ivxlcdmIVXLCDM]+"
 _PAGE_LINE = re.compile(rf"(?P<open>[-–—\[(.~*|· ]*)(?:(?P<word>p[^\W\d_]{{0,7}})[.:]?\s*)?(?P<number>{_NUMBER})(?P<of>\s*(?:de|cle|dc|of|/)\s*[0-9lIOoSB]+)?(?P<close>[-–—\]).~*|· ]*)", re.IGNORECASE)
-_BROKEN = re.compile(rf"([^\W\d_]+)[{MARKS}]\s*\Z")
 _STARTS = re.compile(r"\s*([^\W\d_]+)")
+_NUMBER_WORD = re.compile(r"(?<![^\W_])[\dlIOoSB]+(?![^\W_])")
 _TO_DIGIT = str.maketrans("lIOoSB", "110058")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _ROMAN_NUMBER = re.compile(r"(?=.)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.IGNORECASE)
@@ -86,9 +95,8 @@ def _roman(text: str) -> int | None:
 
 def page_line(line: str) -> tuple[str, int] | None:
     """(style, value) of a line that could be nothing but a printed page number."""
-    line = line.strip()
-    found = _PAGE_LINE.fullmatch(line) if len(line) <= 40 else None
-    if not found:
+    found = _PAGE_LINE.fullmatch(line.strip())
+    if not found or len(found["number"]) > PAGE_DIGITS:
         return None
     number, word = found["number"], found["word"]
     if word and skeleton(word) not in _PAGE_WORDS:
@@ -108,11 +116,22 @@ def page_line(line: str) -> tuple[str, int] | None:
 
 def head_key(line: str) -> str:
     """The words of a line as skeletons, numbers masked."""
-    words = [w for w in _WORD.findall(line) if not w.translate(_TO_DIGIT).isdigit()]
+    words = _WORD.findall(_NUMBER_WORD.sub(" ", line))
     for end in (0, -1):
         if len(words) > 1 and _ROMAN_NUMBER.fullmatch(words[end]):
             words.pop(end)
-    return " ".join(map(skeleton, words))
+    return skeleton(" ".join(words))
+
+
+def open_part(line: str) -> str | None:
+    """The letters before a hyphen that ends ``line``."""
+    line = line.rstrip()
+    if not line or line[-1] not in MARKS:
+        return None
+    end = at = len(line) - 1
+    while at and line[at - 1].isalpha():
+        at -= 1
+    return line[at:end] or None
 
 
 def page_lines(content: str, anchors: list[dict] | None) -> list[tuple[int, str, int, int | None, int, int]]:
@@ -147,7 +166,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((source, "p", "", None, pages))
             told: set[tuple[int, str]] = set()
             for _, text, region, page, top, bottom in lines:
-                if top > 2 and bottom > 3:
+                if top > EDGE_TOP and bottom > EDGE_BOTTOM:
                     continue
                 number = page_line(text)
                 if number:
@@ -202,10 +221,10 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             running: list[int] = []
             for number, text, _, page, top, bottom in page_lines(content, anchors):
                 kind = _line_kind(text, page, top, bottom, known, style, shift)
-                broken = _BROKEN.search(text.rstrip()[-80:]) if kind == "text" else None
+                broken = open_part(text) if kind == "text" else None
                 begins = _STARTS.match(text) if kind == "text" else None
-                words = [w.lower() for w in _WORD.findall(text) if not w.isdigit()] if kind == "text" else []
-                for column, value in zip(out, (chunk, source, index, number, kind, words, broken[1] if broken else None, begins[1] if begins else None, text.rstrip()[-1] if broken else None), strict=True):
+                words = [w for w in _WORD.findall(text.lower()) if not w.isdigit()] if kind == "text" else []
+                for column, value in zip(out, (chunk, source, index, number, kind, words, broken, begins[1] if begins else None, text.rstrip()[-1] if broken else None), strict=True):
                     column.append(value)
                 if kind == "text":
                     running.append(len(out[0]) - 1)
@@ -213,31 +232,73 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["chunk_id", "source", "chunk_index", "line_no", "kind", "words", "open_part", "first_part", "mark"])
 
 
-@F.pandas_udf(T.StringType())
-def _skeletons(words: pd.Series) -> pd.Series:
-    return words.map(skeleton)
-
-
 @F.pandas_udf(T.BooleanType())
 def _comes_from(true: pd.Series, seen: pd.Series) -> pd.Series:
     return pd.Series([misread_of(a, b) for a, b in zip(true, seen, strict=True)])
 
 
-def misread_words(counts: DataFrame, ratio: float = 5.0) -> DataFrame:
-    """(word, correction) from (word, n, m): n unbroken and m broken occurrences of each distinct word.
+def _skeleton_column(word: str) -> Column:
+    """:func:`skeleton` of lower-case words, on the JVM."""
+    single = {k: v for k, v in _SKELETON_TABLE.items() if len(v) == 1}
+    out = F.translate(word, "".join(single), "".join(single.values()))
+    # glyphs that read as several: none of their results is a key
+    for glyph, reads in _SKELETON_TABLE.items():
+        if len(reads) > 1:
+            out = F.replace(out, F.lit(glyph), F.lit(reads))
+    return out
+
+
+def misread_pairs(counts: DataFrame) -> DataFrame:
+    """(word, form, form_n, strong): every form that a word may be a misreading of, from (word, n, m): n unbroken and m broken occurrences.
 
-    Of each skeleton's forms the three commonest are held against the others;
-    the commonest that turns into a word under the known confusions, and is
-    ``ratio`` times as common, is its correction.  Forms with a digit among
-    letters need only any such form.
+    ``strong`` pairs differ enough in frequency; the others need support by their
+    neighbours.  Forms with a digit among letters need only any commoner form.
+    Every form of a skeleton is held against every commoner one; the inequality is
+    part of the join, so rare forms do not meet each other.
     """
-    forms = counts.where("n + m > 0").withColumn("skeleton", _skeletons("word"))
-    common = forms.where("n >= 2").groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False), 1, 3).alias("top"))
-    pairs = forms.join(common, "skeleton").select("word", "n", F.explode("top").alias("form")).where("word <> form.word")
+    forms = counts.where("n + m > 0").withColumn("skeleton", _skeleton_column("word"))
+    common = forms.where("n >= 2").select("skeleton", F.col("word").alias("form"), F.col("n").alias("form_n"))
     mixed = F.col("word").rlike("[0-9]")
-    enough = F.when(mixed, F.col("form.n") >= F.col("n")).otherwise((F.col("form.n") >= 3) & (F.col("form.n") >= ratio * F.col("n")))
-    told = pairs.where(enough).where(_comes_from(F.col("form.word"), F.col("word")))
-    return told.groupBy("word").agg(F.max("form").alias("form")).select("word", F.col("form.word").alias("correction"))
+    strong = F.when(mixed, F.col("form_n") >= F.col("n")).otherwise((F.col("form_n") >= 3) & (F.col("form_n") >= RATIO * F.col("n")))
+    pairs = forms.join(common, (forms["skeleton"] == common["skeleton"]) & (F.col("word") != F.col("form")) & (F.col("form_n") >= F.when(mixed, F.col("n")).otherwise(CONTEXT_RATIO * F.col("n"))))
+    return pairs.select("word", "form", "form_n", strong.alias("strong")).where("strong or form_n >= 3").where(_comes_from(F.col("form"), F.col("word")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_WORDS else df
+
+
+def context_support(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(word, form, support): the share of the neighbours of ``word`` beside which ``form`` stands elsewhere, from (word, form) and lines of words.
+
+    Only pairs of words that are asked for are looked up.
+    """
+    # arrays_zip and not transform, which would leave the generated code
+    beside = F.expr("arrays_zip(words, concat(array(cast(null as string)), words), slice(words, 2, size(words)))")
+    doubted = _small(pairs.select("word").distinct())
+    contexts = lines.where("size(words) > 0").select(F.explode(beside).alias("at")).select(F.col("at.words").alias("word"), F.col("at.1").alias("left"), F.col("at.2").alias("right")).join(doubted, "word").groupBy("word", "left", "right").agg(F.count("*").alias("times"))
+    asked = cut_table(contexts.join(_small(pairs.select("word", "form")), "word"))
+    wanted = asked.select(F.col("left").alias("a"), F.col("form").alias("b")).unionByName(asked.select(F.col("form").alias("a"), F.col("right").alias("b"))).where("a is not null and b is not null").distinct()
+    couples = F.expr("arrays_zip(words, slice(words, 2, size(words)))")
+    known = cut_table(lines.where("size(words) > 1").select(F.explode(couples).alias("at")).select(F.col("at.words").alias("a"), F.col("at.1").alias("b")).join(_small(wanted), ["a", "b"], "left_semi").distinct())
+    before = known.select(F.col("a").alias("left"), F.col("b").alias("form"), F.lit(1).alias("has_left"))
+    after = known.select(F.col("a").alias("form"), F.col("b").alias("right"), F.lit(1).alias("has_right"))
+    met = asked.join(before, ["left", "form"], "left").join(after, ["form", "right"], "left")
+    sides = F.sum(F.col("times") * (F.col("left").isNotNull().cast("int") + F.col("right").isNotNull().cast("int")))
+    held = F.sum(F.col("times") * (F.coalesce("has_left", F.lit(0)) + F.coalesce("has_right", F.lit(0))))
+    return met.groupBy("word", "form").agg(F.coalesce(F.try_divide(held, sides), F.lit(0.0)).alias("support"))
+
+
+def misread_words(counts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(word, correction) for each misread word: its only strong form, else the one that its neighbours support, then the commonest."""
+    pairs = cut_table(misread_pairs(counts))
+    kinds = pairs.groupBy("word").agg(F.count("*").alias("forms"), F.max("strong").alias("any_strong"))
+    doubtful = cut_table(pairs.join(kinds.where("forms > 1 or not any_strong"), "word").select("word", "form", "form_n", "strong"))
+    sure = pairs.join(doubtful.select("word").distinct(), "word", "left_anti").select("word", F.col("form").alias("correction"))
+    support = context_support(doubtful, lines)
+    weighed = doubtful.join(support, ["word", "form"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))).where(F.col("strong") | (F.col("support") >= CONTEXT_SHARE))
+    chosen = weighed.groupBy("word").agg(F.max_by("form", F.struct("support", "form_n", "form")).alias("correction"))
+    return sure.unionByName(chosen)
 
 
 class ScanRepair:
@@ -280,7 +341,7 @@ class ScanRepair:
         plain = self.whole.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         joined = self.breaks.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("m"))
         counts = cut_table(plain.join(joined, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")))
-        self.misread = cut_table(misread_words(counts))
+        self.misread = cut_table(misread_words(counts, self.whole))
         pairs = self.breaks.groupBy("open_part", "next_part").agg(F.count("*").alias("times"), F.first("joined").alias("joined"), F.max(F.col("mark").isin("¬", "­")).alias("soft"))
         known = counts.where("n > 0").select(F.col("word").alias("joined"), F.lit(True).alias("known"))
         fixed = self.misread.select(F.col("word").alias("joined"), F.lit(True).alias("fixed"))
@@ -295,12 +356,9 @@ class ScanRepair:
         """Breaks that are hyphenation."""
         return self.breaks.join(self.compounds, ["open_part", "next_part"], "left_anti")
 
-    def _bad_words(self) -> DataFrame:
-        return F.broadcast(self.misread) if self.misread.count() <= BROADCAST_WORDS else self.misread
-
     def misreadings(self) -> DataFrame:
         """(chunk_id, line_no, seen, correction): parts of words to put right, line by line."""
-        bad = self._bad_words()
+        bad = _small(self.misread)
         inside = self.whole.select("chunk_id", "line_no", F.explode(F.array_distinct("words")).alias("word")).join(bad, "word").select("chunk_id", "line_no", F.col("word").alias("seen"), "correction")
         across = self.hyphens().join(bad.select(F.col("word").alias("joined"), "correction"), "joined")
         left, right = F.lower("open_part"), F.lower("next_part")

@@ -1,4 +1,4 @@
-from legajo.llm.scans import ScanRepair, misread_of, page_line, skeleton
+from legajo.llm.scans import ScanRepair, misread_of, misread_words, open_part, page_line, skeleton
 
 SCHEMA = "chunk_id string, source string, chunk_index int, content string, anchors array<struct<page_number int, start_char int, end_char int>>, kind string"
 
@@ -48,3 +48,37 @@ def test_nulls_repeats_and_empty(spark):
     assert repair.found().count() == 0
     assert [r.text for r in repair.paragraphs().collect()] == ["hola a todos"]
     assert ScanRepair(spark.createDataFrame([], SCHEMA)).found().count() == 0
+
+
+def _counts(spark, counts):
+    return spark.createDataFrame([(w, n, 0) for w, n in counts.items()], "word string, n bigint, m bigint")
+
+
+def test_every_form_is_held_against_the_others(spark):
+    """A true word that is only the fourth of its group by frequency still corrects its misreading."""
+    counts = _counts(spark, {"bola": 90, "bo1a": 60, "boia": 50, "boja": 40, "hola": 30, "h0la": 2})
+    lines = spark.createDataFrame([(["dijo", "h0la", "vecino"],), (["dijo", "hola", "vecino"],)], "words array<string>")
+    assert {r.word: r.correction for r in misread_words(counts, lines).collect()}["h0la"] == "hola"
+
+
+def test_neighbours_decide(spark):
+    """Of two forms that a word may be a misreading of, the one beside the same neighbours is chosen; a scarce form needs them."""
+    counts = _counts(spark, {"fila": 20, "tila": 40, "fi1a": 1, "reforma": 3, "reforrna": 1, "lecho": 3, "1ccho": 2, "lccho": 1})
+    lines = spark.createDataFrame([(["en", "fi1a", "de"],), (["en", "fila", "de"],), (["té", "tila", "y"],), (["la", "reforrna", "rural"],), (["la", "reforma", "rural"],), (["un", "lccho", "así"],), (["su", "lecho", "es"],)], "words array<string>")
+    got = {r.word: r.correction for r in misread_words(counts, lines).collect()}
+    assert got["fi1a"] == "fila" and got["reforrna"] == "reforma" and "lccho" not in got
+    swapped = lines.selectExpr("transform(words, w -> case w when 'fila' then 'tila' when 'tila' then 'fila' else w end) as words")
+    assert {r.word: r.correction for r in misread_words(counts.where("word like '_i_a'"), swapped).collect()} == {"fi1a": "tila"}
+
+
+def test_long_words_and_lines():
+    assert open_part("x" * 100 + "-") == "x" * 100 and open_part("costo —") is None and open_part("a¬  ") == "a" and open_part("") is None
+    assert page_line("— " * 30 + "7 " + "— " * 30) == ("framed digits", 7) and page_line("9" * 5000) is None
+
+
+def test_skeletons_agree(spark):
+    words = ["reforma", "años", "quedó", "mundo", "mil1ones", "wínd", "ﬁx", "straße"]
+    from legajo.llm.scans import _skeleton_column
+
+    df = spark.createDataFrame([(w,) for w in words], "word string").withColumn("s", _skeleton_column("word"))
+    assert {r.word: r.s for r in df.collect()} == {w: skeleton(w) for w in words}
