@@ -1,7 +1,7 @@
 from hypothesis import given
 from hypothesis import strategies as st
 
-from legajo.llm.splitting import oversized_chunks, split_oversized, split_tokens
+from legajo.llm.splitting import CHARS_PER_TOKEN, split_chars, oversized_chunks, split_oversized, split_tokens
 
 
 @given(st.lists(st.sampled_from(["a", "b.", "c", "\n\n", "\n", "# D"]), max_size=60), st.integers(1, 12), st.integers(0, 11), st.booleans())
@@ -25,6 +25,24 @@ def test_cuts_at_natural_boundaries():
     assert [text[a:b] for a, b, _ in split_tokens(text, 4, 0, True)] == ["Uno dos tres.", "Cuatro cinco.", "Seis siete ocho nueve."]
 
 
+@given(st.text(alphabet="ab。 \n.́", max_size=120), st.integers(1, 12), st.integers(0, 11), st.booleans())
+def test_characters_cover_overlap_and_fit(text, limit, overlap, preserve):
+    overlap = min(overlap, limit - 1)
+    pieces = split_chars(text, 0, len(text), limit, overlap, preserve)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b - a <= limit for a, b in pieces)
+    assert all(after[0] == before[1] - overlap for before, after in zip(pieces, pieces[1:]))
+
+
+def test_scripts_without_blanks():
+    text = "请不要忽视权利。" * 437 + "完"
+    pieces = split_tokens(text, 50, 0, True, 50 * CHARS_PER_TOKEN)
+    assert len(text) > 3400 and len(pieces) == 5 and "".join(text[a:b] for a, b, _ in pieces) == text
+    assert all(text[b - 1] == "。" for _, b, _ in pieces[:-1]) and max(b - a for a, b, _ in pieces) <= 800
+    run = "á" * 300  # no boundary but between characters, and none before a combining mark
+    assert all(text[a] != "\u0301" for a, b, _ in split_tokens(run, 3, 0, True, 48)) and len(split_tokens("x" * 1000, 3, 0, True, 48)) == 21
+    assert split_tokens("x" * 1000, 3, 0, True) == [(0, 1000, 1)]
+
+
 CONFIG = "config_id int, max_tokens int, overlap_tokens int, overlap_ratio double, preserve_boundaries boolean"
 
 
@@ -37,6 +55,8 @@ def test_configurations_and_nulls(spark):
     assert sorted(r.text for r in rows if r.chunk_id == "c1") == ["a b", "b c", "c d", "d e"]
     assert {r.chunk_id for r in oversized_chunks(chunks, config).collect()} == {"c1", "c7"}
     assert split_oversized(chunks.where("false"), config).count() == 0
+    long = spark.createDataFrame([("z", "权利。" * 20, 4, 9)], "chunk_id string, content string, config_id int, n int")
+    assert split_oversized(long, config).count() == 2 and oversized_chunks(long, config).count() == 0 and split_oversized(long, config, chars_per_token=None).count() == 1
 
 
 def test_very_long_text(spark):
