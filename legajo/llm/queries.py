@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.functions.session import cut_table, table
-from legajo.llm.confusables import keyword_matches, same_looking, with_visible_form
+from legajo.llm.confusables import confusable_tokens, form_classes, keyword_matches, same_looking, with_visible_form
 from legajo.llm.mixing import mixed, reached_shares
 from legajo.llm.packing import pack, usage
 from legajo.llm.repeated_lines import repeated_lines, without_repeated_lines, without_repeated_passages
@@ -29,6 +29,14 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_visible_form(chunks, "content", "content")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return form_classes(table(spark, sf_dir, "processed_chunk")).select(F.hex("form").alias("form"), F.hex("spelling").alias("spelling"), "id")
+
+
+def p1_confusable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusable_tokens(table(spark, sf_dir, "processed_chunk"), "content")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized_chunks(table(spark, sf_dir, "processed_chunk"), table(spark, sf_dir, "chunk_config"))
 
@@ -116,7 +124,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p6_passages": p6_passages, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes, "p1_confusable_tokens": p1_confusable_tokens, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_sentences": p3_sentences, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p6_passages": p6_passages, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
