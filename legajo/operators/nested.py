@@ -13,11 +13,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "record_id bigint, dewey array<int>, path array<string>, name string, listed boolean, kind string, value string"
-_ARROW = pa.schema([("record_id", pa.int64()), ("dewey", pa.list_(pa.int32())), ("path", pa.list_(pa.string())), ("name", pa.string()), ("listed", pa.bool_()), ("kind", pa.string()), ("value", pa.string())])
+#: What Python hands over for each node: label and path as one string each, which the JVM takes apart.
+_FLAT_SCHEMA = "record_id bigint, dewey string, path string, name string, listed boolean, kind string, value string"
+_FLAT = pa.schema([("record_id", pa.int64()), *((n, pa.string()) for n in ("dewey", "path", "name")), ("listed", pa.bool_()), ("kind", pa.string()), ("value", pa.string())])
+_STEP = "\x1f"
 
 
 def _refuse(token: str) -> None:
@@ -31,45 +33,65 @@ def _parse(text: str | None) -> tuple[bool, object]:
         return False, None
 
 
-def _nodes(record: int, root: object) -> Iterator[tuple]:
-    """All nodes below ``root`` without recursion, so that depth is bounded by memory only."""
-    stack: list[tuple[object, list[int], list[str], str | None, bool]] = [(root, [], [], None, False)]
+def _nodes(record: int, root: object, within: frozenset[str]) -> Iterator[tuple]:
+    """All nodes below ``root``, or below the keys ``within``, without recursion, so that depth is bounded by memory only."""
+    stack: list[tuple[object, str, str, str | None, bool, bool]] = [(root, "", "", None, False, not within)]
     while stack:
-        value, dewey, path, name, listed = stack.pop()
-        if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
+        value, dewey, path, name, listed, told = stack.pop()
+        if type(value) is str and value.lstrip()[:1] in ("{", "["):
             valid, inner = _parse(value)
             value = inner if valid else value
-        kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "null" if value is None else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
-        yield record, dewey, path, name, listed, kind, None if kind in ("object", "array", "null") else value if kind == "string" else json.dumps(value)
-        if kind == "object":
-            stack += [(v, [*dewey, i], [*path, k], k, False) for i, (k, v) in enumerate(value.items())]
-        elif kind == "array":
-            stack += [(v, [*dewey, i], [*path, "*"], None, True) for i, v in enumerate(value)]
-
-
-def dewey_nodes(records: DataFrame, record_id: str = "record_id", payload: str = "payload", batch: int = 20_000) -> DataFrame:
-    """One row for each JSON value of each record, of schema ``NODE_SCHEMA``.
-
-    Payloads that are null, empty or no valid JSON (``NaN`` and ``Infinity``
-    included) give no rows, nor do rows without ``record_id``.  Of equal keys in
-    one object the last counts, as in common JSON readers.
+        if isinstance(value, dict):
+            kind, scalar = "object", None
+            for i, (k, v) in enumerate(value.items()):
+                step = k.replace(_STEP, "\ufffd")
+                stack.append((v, f"{dewey}.{i}" if dewey else str(i), f"{path}{_STEP}{step}", k, False, told or k in within))
+        elif isinstance(value, list):
+            kind, scalar = "array", None
+            for i, v in enumerate(value):
+                stack.append((v, f"{dewey}.{i}" if dewey else str(i), f"{path}{_STEP}*", None, True, told))
+        elif value is None:
+            kind, scalar = "null", None
+        elif isinstance(value, str):
+            kind, scalar = "string", value
+        else:
+            kind, scalar = "boolean" if isinstance(value, bool) else "number", json.dumps(value)
+        if told:
+            yield record, dewey, path, name, listed, kind, scalar
+
+
+def dewey_nodes(records: DataFrame, record_id: str = "record_id", payload: str = "payload", batch: int = 20_000, within: tuple[str, ...] = ()) -> DataFrame:
+    """(record_id, dewey, path, name, listed, kind, value): one row for each JSON value of each record.
+
+    With ``within`` only the values below these keys are given, wherever they
+    stand.  Payloads that are null, empty or no valid JSON (``NaN`` and
+    ``Infinity`` included) give no rows, nor do rows without ``record_id``.  Of
+    equal keys in one object the last counts, as in common JSON readers; the unit
+    separator in a key becomes the replacement character in ``path``.
     """
+    keys = frozenset(within)
+
+    def flat(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _FLAT, strict=True)], schema=_FLAT)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows: list[tuple] = []
             for record, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 valid, root = _parse(text)
-                for node in _nodes(record, root) if valid else ():
+                for node in _nodes(record, root, keys) if valid else ():
                     rows.append(node)
                     if len(rows) >= batch:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                        yield flat(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                yield flat(rows)
 
     source = records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).cast("string").alias("payload"))
-    return source.where("record_id is not null and payload is not null").mapInArrow(label, NODE_SCHEMA)
+    told = source.where("record_id is not null and payload is not null").mapInArrow(label, _FLAT_SCHEMA)
+    dewey = F.when(F.col("dewey") == "", F.expr("cast(array() as array<int>)")).otherwise(F.split("dewey", "[.]").cast("array<int>"))
+    path = F.expr(f"slice(split(path, '{_STEP}'), 2, size(split(path, '{_STEP}')))")
+    return told.select("record_id", dewey.alias("dewey"), path.alias("path"), "name", "listed", "kind", "value")
 
 
 def parent_label(dewey: Column) -> Column:
@@ -79,9 +101,8 @@ def parent_label(dewey: Column) -> Column:
 
 def schema_tables(nodes: DataFrame) -> DataFrame:
     """(table_path, record_id, node_key, parent_key, ordinal, kind, value): nodes grouped by schema path, keys as dotted labels."""
-    dotted = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ".")
     return nodes.select(
-        F.array_join("path", "/").alias("table_path"), "record_id", dotted(F.col("dewey")).alias("node_key"), dotted(parent_label(F.col("dewey"))).alias("parent_key"), F.try_element_at("dewey", F.lit(-1)).alias("ordinal"), "kind", "value"
+        F.array_join("path", "/").alias("table_path"), "record_id", _dotted(F.col("dewey")).alias("node_key"), _dotted(parent_label(F.col("dewey"))).alias("parent_key"), F.try_element_at("dewey", F.lit(-1)).alias("ordinal"), "kind", "value"
     )
 
 
@@ -94,22 +115,21 @@ CONTAINERS = {
 NAMES = ("dimension_name", "dimension_id")
 
 
-def section_children(nodes: DataFrame) -> DataFrame:
-    """(record_id, section, dimension, child_kind, parent_pos, child_pos) for the sections above, wherever they stand.
+def section_nodes(nodes: DataFrame) -> DataFrame:
+    """(record_id, section, dimension, child_kind, parent_pos, child_pos, dewey, entry, kind, value) of the non-null children of the sections above, wherever they stand.
 
     A list position is the child's place; a single value stands for a list of
-    one.  Entries of a section stored as a list take their name from a child of
-    theirs, found by joining on the truncated label.
+    one.  ``entry`` is the label of the section's entry that holds the child.
+    Entries of a section stored as a list take their name from a child of theirs,
+    found within the rows that share the truncated label.
     """
     known = ", ".join(f"'{s}'" for s in SECTIONS)
     at = F.expr(f"aggregate(path, struct(0 as i, 0 as at), (s, x) -> struct(s.i + 1 as i, if(x in ({known}), s.i + 1, s.at) as at), s -> s.at)")
     inside = nodes.withColumn("at", at).where("at > 0")
-    inside = inside.withColumn("section", F.expr("path[at - 1]")).withColumn("below", F.expr("slice(path, at + 1, size(path))")).withColumn("places", F.expr("slice(dewey, at + 1, size(dewey))"))
+    inside = inside.withColumn("section", F.expr("get(path, at - 1)")).withColumn("below", F.expr("slice(path, at + 1, size(path))")).withColumn("places", F.expr("slice(dewey, at + 1, size(dewey))"))
     inside = inside.withColumn("entry", F.expr("slice(dewey, 1, at + 1)")).where("size(below) between 1 and 5")
     step = lambda i: F.try_element_at("below", F.lit(i))
     place = lambda i: F.try_element_at("places", F.lit(i))
-    rest = F.expr("slice(below, 2, size(below))")
-    filled = F.col("kind") != "null"
     depth = F.size("below")
     kinds: list[tuple[Column, str, Column, Column]] = []
     none = F.lit(-1)
@@ -129,10 +149,75 @@ def section_children(nodes: DataFrame) -> DataFrame:
                     kinds.append((inner & (depth == 3 + shift) & (F.col("kind") != "array"), deep, parent, F.lit(0)))
                     kinds.append((inner & (depth == 4 + shift) & (step(4 + shift) == "*"), deep, parent, place(4 + shift)))
     child = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("child_kind"), p.cast("int").alias("parent_pos"), q.cast("int").alias("child_pos"))) for c, k, p, q in kinds])
-    labelled = inside.withColumn("child", F.when(filled, child))
-    children = labelled.where("child is not null").select("record_id", "section", "entry", F.col("below")[0].alias("key"), "child.*")
-    named = inside.where((F.size("below") == 2) & (step(1) == "*") & step(2).isin(*NAMES) & (F.col("kind") == "string"))
-    names = named.groupBy(F.col("record_id").alias("n_record"), F.col("entry").alias("n_entry")).agg(F.min_by("value", F.when(step(2) == NAMES[0], 0).otherwise(1)).alias("n_name"))
-    joined = children.join(names, (F.col("record_id") == F.col("n_record")) & (F.col("entry") == F.col("n_entry")), "left")
-    name = F.when(F.col("key") == "*", F.col("n_name")).otherwise(F.col("key"))
-    return joined.select("record_id", "section", name.alias("dimension"), "child_kind", "parent_pos", "child_pos").distinct()
+    naming = (F.size("below") == 2) & (step(1) == "*") & step(2).isin(*NAMES) & (F.col("kind") == "string")
+    labelled = inside.withColumn("child", F.when(F.col("kind") != "null", child)).withColumn("names", F.when(naming, F.struct(F.when(step(2) == NAMES[0], 0).otherwise(1).alias("rank"), F.col("value").alias("name"))))
+    labelled = labelled.where("child is not null or names is not null").select("record_id", "section", "entry", F.get("below", F.lit(0)).alias("key"), "child", "names", "dewey", "kind", "value")
+    # one entry's rows only: an entry of a list is bounded by its record
+    called = F.min("names").over(Window.partitionBy("record_id", "entry"))["name"]
+    unnamed = labelled.where("key <> '*'").withColumn("dimension", F.col("key"))
+    named = labelled.where("key = '*'").withColumn("dimension", called)
+    return unnamed.unionByName(named).where("child is not null").select("record_id", "section", "dimension", "child.*", "dewey", "entry", "kind", "value")
+
+
+def section_children(nodes: DataFrame) -> DataFrame:
+    """(record_id, section, dimension, child_kind, parent_pos, child_pos) of :func:`section_nodes`, each once."""
+    return section_nodes(nodes).select("record_id", "section", "dimension", "child_kind", "parent_pos", "child_pos").distinct()
+
+
+def _dotted(label: Column) -> Column:
+    return F.array_join(F.transform(label, lambda v: v.cast("string")), ".")
+
+
+def _number(text: Column) -> Column:
+    """A number written with a decimal comma or a percent sign as well."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, "%", "")), ",", ".").try_cast("double")
+
+
+def record_table(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> DataFrame:
+    """(record_id, valid, ...): one row for each record with an id, its own columns kept, whether its payload is valid JSON."""
+
+    def check(texts: pa.Array) -> pa.Array:
+        return pa.array([t is not None and _parse(t)[0] for t in texts.to_pylist()], pa.bool_())
+
+    kept = [c for c in records.columns if c not in (record_id, payload, "valid")]
+    return records.where(F.col(record_id).isNotNull()).select(F.col(record_id).cast("bigint").alias("record_id"), F.arrow_udf(check, "boolean")(F.col(payload).cast("string")).alias("valid"), *kept)
+
+
+def dimension_table(nodes: DataFrame) -> DataFrame:
+    """(record_id, dimension_key, section, dimension, number, status, raw_score, adjusted_score) of the entries of all sections.
+
+    ``dimension_key`` is the entry's dotted label, the ``parent_key`` of its
+    children; ``number`` the value of a coverage entry; ``status`` may be stored
+    as a string or as an object with a value.
+    """
+    own = section_nodes(nodes).where("child_kind in ('coverage', 'dimension')").select("record_id", _dotted(F.col("dewey")).alias("dimension_key"), "section", "dimension", _number(F.col("value")).alias("number"))
+    known = ", ".join(f"'{s}'" for s in SECTIONS)
+    at = F.expr(f"aggregate(path, struct(0 as i, 0 as at), (s, x) -> struct(s.i + 1 as i, if(x in ({known}), s.i + 1, s.at) as at), s -> s.at)")
+    facts = nodes.withColumn("at", at).where("at > 0 and value is not null").withColumn("fact", F.expr("array_join(slice(path, at + 2, size(path)), '/')")).where("fact in ('status', 'status/value', 'scores/raw_score', 'scores/adjusted_score', 'raw_score', 'adjusted_score')")
+    facts = facts.groupBy(F.col("record_id").alias("f_record"), _dotted(F.expr("slice(dewey, 1, at + 1)")).alias("f_key")).agg(
+        F.max(F.when(F.col("fact").startswith("status"), F.col("value"))).alias("status"), F.max(F.when(F.col("fact").endswith("raw_score"), _number(F.col("value")))).alias("raw_score"), F.max(F.when(F.col("fact").endswith("adjusted_score"), _number(F.col("value")))).alias("adjusted_score")
+    )
+    return own.join(facts, (F.col("record_id") == F.col("f_record")) & (F.col("dimension_key") == F.col("f_key")), "left").drop("f_record", "f_key")
+
+
+def child_table(nodes: DataFrame) -> DataFrame:
+    """(record_id, child_key, parent_key, dimension_key, section, dimension, child_kind, place, name, number, valid) of the children of the entries.
+
+    ``parent_key`` is the entry for scores, items, questions and corrections, the
+    item or question for what hangs below these.  ``name`` is the value itself or
+    the id of an object, ``number`` its score, ``valid`` its mark.
+    """
+    own = section_nodes(nodes).where("child_kind not in ('coverage', 'dimension')")
+    listed = F.col("parent_pos") >= 0
+    # the item stands in the container's list, or is the container itself
+    item = F.expr("slice(dewey, 1, size(entry) + 1)")
+    up = F.when(listed, F.expr("if(stepped, slice(dewey, 1, size(entry) + 2), slice(dewey, 1, size(entry) + 1))")).otherwise(F.col("entry"))
+    items = nodes.where("kind = 'array'").select(F.col("record_id").alias("a_record"), F.col("dewey").alias("a_label"))
+    own = own.withColumn("container", item).join(items, (F.col("record_id") == F.col("a_record")) & (F.col("container") == F.col("a_label")), "left").withColumn("stepped", F.col("a_label").isNotNull())
+    own = own.select("record_id", _dotted(F.col("dewey")).alias("child_key"), _dotted(up).alias("parent_key"), _dotted(F.col("entry")).alias("dimension_key"), "section", "dimension", "child_kind", F.col("child_pos").alias("place"), "value")
+    facts = nodes.where("value is not null and name in ('evidence_id', 'question_id', 'factor', 'dnp_compliance_score', 'raw_score', 'amount', 'is_valid')")
+    facts = facts.groupBy(F.col("record_id").alias("f_record"), _dotted(parent_label(F.col("dewey"))).alias("f_key")).agg(
+        F.max(F.when(F.col("name").isin("evidence_id", "question_id", "factor"), F.col("value"))).alias("f_name"), F.max(F.when(F.col("name").isin("dnp_compliance_score", "raw_score", "amount"), _number(F.col("value")))).alias("f_number"), F.max(F.when(F.col("name") == "is_valid", F.col("value").try_cast("boolean"))).alias("valid")
+    )
+    joined = own.join(facts, (F.col("record_id") == F.col("f_record")) & (F.col("child_key") == F.col("f_key")), "left")
+    return joined.select("record_id", "child_key", "parent_key", "dimension_key", "section", "dimension", "child_kind", "place", F.coalesce("value", "f_name").alias("name"), F.coalesce(_number(F.col("value")), "f_number").alias("number"), "valid")

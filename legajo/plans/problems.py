@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.functions.session import cut, table
+from legajo.functions.session import cut, cut_table, table
 from legajo.operators.hierarchy import below_cycles, descendants, parent_links, resolve_hierarchy
-from legajo.operators.nested import dewey_nodes, schema_tables, section_children
+from legajo.operators.nested import SECTIONS, child_table, dewey_nodes, dimension_table, record_table, schema_tables, section_children
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,23 @@ def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_children(dewey_nodes(table(spark, sf_dir, "aggregation_artifact")))
+    return section_children(_section_nodes(spark, sf_dir))
+
+
+def _section_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dewey_nodes(table(spark, sf_dir, "aggregation_artifact"), within=tuple(SECTIONS))
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_table(table(spark, sf_dir, "aggregation_artifact"))
+
+
+def p5_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_table(cut_table(_section_nodes(spark, sf_dir)))
+
+
+def p5_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return child_table(cut_table(_section_nodes(spark, sf_dir)))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +50,7 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(below_cycles(links, cut(resolve_hierarchy(links, with_paths=True))))
 
 
-QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}
+QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p5_records": p5_records, "p5_dimensions": p5_dimensions, "p5_children": p5_children, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}
 
 _KEY = r"upper(regexp_replace(regexp_replace({}, '^[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g'), '^0+(.)', '\1'))"
 

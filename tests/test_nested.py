@@ -1,6 +1,6 @@
 import json
 
-from legajo.operators.nested import dewey_nodes, parent_label, schema_tables, section_children
+from legajo.operators.nested import SECTIONS, child_table, dewey_nodes, dimension_table, parent_label, record_table, schema_tables, section_children
 
 
 def _rows(df):
@@ -55,3 +55,29 @@ def test_children_of_all_shapes(spark):
         (1, "dimension_results", "DE-1", "evidence_ref", 1, 2),
         (1, "dimension_results", "DE-1", "correction", -1, 0),
     }
+
+
+def test_only_the_sections(spark):
+    """Leaving out what stands outside the sections changes no child."""
+    payloads = [json.dumps({"a": {"coverage_metrics": {"x": 1}, "b": [1, {"dimensions_aggregation": json.dumps([{"dimension_id": "q", "dnp_scores": 1}])}]}, "c": 3})]
+    records = _artifacts(spark, payloads)
+    assert _rows(section_children(dewey_nodes(records))) == _rows(section_children(dewey_nodes(records, within=tuple(SECTIONS)))) == {(0, "coverage_metrics", "x", "coverage", -1, -1), (0, "dimensions_aggregation", "q", "dimension", -1, -1), (0, "dimensions_aggregation", "q", "dnp_score", -1, 0)}
+
+
+def test_related_tables(spark):
+    entry = {"dimension_name": "n", "status": {"value": "done"}, "scores": {"raw_score": 0.5}, "evidence_items": [{"evidence_id": "e1", "is_valid": True, "dnp_compliance_score": "0,5", "rule_violations": ["late", None, "old"]}, {"evidence_id": "e2", "rule_violations": "one"}]}
+    payloads = [json.dumps({"coverage_metrics": {"x": "26.4%"}, "dimensions_aggregation": [entry], "dimension_results": {"D": {"question_breakdown": {"question_id": "q", "evidence_refs": ["a"]}}}}), "{"]
+    records = _artifacts(spark, payloads)
+    nodes = dewey_nodes(records, within=tuple(SECTIONS))
+    assert {(r.record_id, r.valid, r.path) for r in record_table(records).collect()} == {(0, True, "x"), (1, False, "x")}
+    dimensions = {r.dimension: r for r in dimension_table(nodes).collect()}
+    assert dimensions["x"].number == 26.4 and dimensions["n"].status == "done" and dimensions["n"].raw_score == 0.5 and set(dimensions) == {"x", "n", "D"}
+    children = child_table(nodes).collect()
+    by_key = {(r.record_id, r.child_key): r for r in children}
+    entries = {r.dimension_key for r in dimensions.values()}
+    assert all(r.dimension_key in entries and (r.parent_key in entries or (r.record_id, r.parent_key) in by_key) for r in children)
+    late = next(r for r in children if r.name == "late")
+    assert by_key[0, late.parent_key].name == "e1" and by_key[0, late.parent_key].number == 0.5 and by_key[0, late.parent_key].valid is True
+    assert by_key[0, next(r for r in children if r.name == "one").parent_key].name == "e2" and by_key[0, next(r for r in children if r.name == "a").parent_key].name == "q"
+    assert len(children) == 7 and len(by_key) == 7
+    assert child_table(nodes.where("false")).count() == 0 and dimension_table(nodes.where("false")).count() == 0
