@@ -13,12 +13,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What Python hands over for each node: label and path as one string each, which the JVM takes apart.
-_FLAT_SCHEMA = "record_id bigint, dewey string, path string, name string, listed boolean, kind string, value string"
-_FLAT = pa.schema([("record_id", pa.int64()), *((n, pa.string()) for n in ("dewey", "path", "name")), ("listed", pa.bool_()), ("kind", pa.string()), ("value", pa.string())])
+_FLAT_SCHEMA = "record_id bigint, dewey string, path string, name string, listed boolean, kind string, value string, section string, level int, title string, below string"
+_FLAT = pa.schema([("record_id", pa.int64()), *((n, pa.string()) for n in ("dewey", "path", "name")), ("listed", pa.bool_()), ("kind", pa.string()), ("value", pa.string()), ("section", pa.string()), ("level", pa.int32()), ("title", pa.string()), ("below", pa.string())])
 _STEP = "\x1f"
 
 
@@ -33,38 +33,46 @@ def _parse(text: str | None) -> tuple[bool, object]:
         return False, None
 
 
-def _nodes(record: int, root: object, within: frozenset[str]) -> Iterator[tuple]:
+def _nodes(record: int, root: object, within: frozenset[str], names: tuple[str, ...]) -> Iterator[tuple]:
     """All nodes below ``root``, or below the keys ``within``, without recursion, so that depth is bounded by memory only."""
-    stack: list[tuple[object, str, str, str | None, bool, bool]] = [(root, "", "", None, False, not within)]
+    stack: list[tuple] = [(root, "", "", None, False, None, 0, None, 0, None)]
     while stack:
-        value, dewey, path, name, listed, told = stack.pop()
+        value, dewey, path, name, listed, section, level, title, depth, under = stack.pop()
         if type(value) is str and value.lstrip()[:1] in ("{", "["):
             valid, inner = _parse(value)
             value = inner if valid else value
+        if section is not None and depth == level + 1:  # an entry of the section: its key, or what a listed one calls itself
+            title = name if not listed else next((value[k] for k in names if type(value.get(k)) is str), None) if isinstance(value, dict) else None
+            under = section
+        below = None if under is None else under + "/"
         if isinstance(value, dict):
             kind, scalar = "object", None
             for i, (k, v) in enumerate(value.items()):
-                step = k.replace(_STEP, "\ufffd")
-                stack.append((v, f"{dewey}.{i}" if dewey else str(i), f"{path}{_STEP}{step}", k, False, told or k in within))
+                step = f"{path}{_STEP}{k.replace(_STEP, chr(0xFFFD))}"
+                label = f"{dewey}.{i}" if dewey else str(i)
+                stack.append((v, label, step, k, False, k, depth + 1, None, depth + 1, None) if k in within else (v, label, step, k, False, section, level, title, depth + 1, below and below + k))
         elif isinstance(value, list):
             kind, scalar = "array", None
             for i, v in enumerate(value):
-                stack.append((v, f"{dewey}.{i}" if dewey else str(i), f"{path}{_STEP}*", None, True, told))
+                stack.append((v, f"{dewey}.{i}" if dewey else str(i), f"{path}{_STEP}*", None, True, section, level, title, depth + 1, below and below + "*"))
         elif value is None:
             kind, scalar = "null", None
         elif isinstance(value, str):
             kind, scalar = "string", value
         else:
             kind, scalar = "boolean" if isinstance(value, bool) else "number", json.dumps(value)
-        if told:
-            yield record, dewey, path, name, listed, kind, scalar
+        if section is not None or not within:
+            yield record, dewey, path, name, listed, kind, scalar, section, level, title, under
 
 
-def dewey_nodes(records: DataFrame, record_id: str = "record_id", payload: str = "payload", batch: int = 20_000, within: tuple[str, ...] = ()) -> DataFrame:
-    """(record_id, dewey, path, name, listed, kind, value): one row for each JSON value of each record.
+def dewey_nodes(records: DataFrame, record_id: str = "record_id", payload: str = "payload", batch: int = 20_000, within: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """(record_id, dewey, path, name, listed, kind, value, section, level, title, below): one row for each JSON value of each record.
 
-    With ``within`` only the values below these keys are given, wherever they
-    stand.  Payloads that are null, empty or no valid JSON (``NaN`` and
+    With ``within`` only the values at and below these keys are given, wherever
+    they stand: ``section`` is the last of the keys on the way, ``level`` its
+    depth, ``title`` the key of its entry that holds the value, or for a listed
+    entry the first string that it has under one of ``names``, ``below`` the
+    section with the keys below its entry, list positions as ``*``.  Payloads that are null, empty or no valid JSON (``NaN`` and
     ``Infinity`` included) give no rows, nor do rows without ``record_id``.  Of
     equal keys in one object the last counts, as in common JSON readers; the unit
     separator in a key becomes the replacement character in ``path``.
@@ -79,7 +87,7 @@ def dewey_nodes(records: DataFrame, record_id: str = "record_id", payload: str =
             rows: list[tuple] = []
             for record, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 valid, root = _parse(text)
-                for node in _nodes(record, root, keys) if valid else ():
+                for node in _nodes(record, root, keys, names) if valid else ():
                     rows.append(node)
                     if len(rows) >= batch:
                         yield flat(rows)
@@ -91,7 +99,7 @@ def dewey_nodes(records: DataFrame, record_id: str = "record_id", payload: str =
     told = source.where("record_id is not null and payload is not null").mapInArrow(label, _FLAT_SCHEMA)
     dewey = F.when(F.col("dewey") == "", F.expr("cast(array() as array<int>)")).otherwise(F.split("dewey", "[.]").cast("array<int>"))
     path = F.expr(f"slice(split(path, '{_STEP}'), 2, size(split(path, '{_STEP}')))")
-    return told.select("record_id", dewey.alias("dewey"), path.alias("path"), "name", "listed", "kind", "value")
+    return told.select("record_id", dewey.alias("dewey"), path.alias("path"), "name", "listed", "kind", "value", "section", "level", "title", "below")
 
 
 def parent_label(dewey: Column) -> Column:
@@ -115,48 +123,43 @@ CONTAINERS = {
 NAMES = ("dimension_name", "dimension_id")
 
 
-def section_nodes(nodes: DataFrame) -> DataFrame:
-    """(record_id, section, dimension, child_kind, parent_pos, child_pos, dewey, entry, kind, value) of the non-null children of the sections above, wherever they stand.
+def artifact_nodes(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> DataFrame:
+    """The nodes of the sections above."""
+    return dewey_nodes(records, record_id, payload, within=tuple(SECTIONS), names=NAMES)
 
-    A list position is the child's place; a single value stands for a list of
-    one.  ``entry`` is the label of the section's entry that holds the child.
-    Entries of a section stored as a list take their name from a child of theirs,
-    found within the rows that share the truncated label.
-    """
-    known = ", ".join(f"'{s}'" for s in SECTIONS)
-    at = F.expr(f"aggregate(path, struct(0 as i, 0 as at), (s, x) -> struct(s.i + 1 as i, if(x in ({known}), s.i + 1, s.at) as at), s -> s.at)")
-    inside = nodes.withColumn("at", at).where("at > 0")
-    inside = inside.withColumn("section", F.expr("get(path, at - 1)")).withColumn("below", F.expr("slice(path, at + 1, size(path))")).withColumn("places", F.expr("slice(dewey, at + 1, size(dewey))"))
-    inside = inside.withColumn("entry", F.expr("slice(dewey, 1, at + 1)")).where("size(below) between 1 and 5")
-    step = lambda i: F.try_element_at("below", F.lit(i))
-    place = lambda i: F.try_element_at("places", F.lit(i))
-    depth = F.size("below")
-    kinds: list[tuple[Column, str, Column, Column]] = []
-    none = F.lit(-1)
+
+def _patterns() -> Iterator[tuple[str, str, int | None, int | None, bool]]:
+    """(schema path below the entry, kind, place of the parent, of the child, single) with places as steps below the section."""
     for section, kind in SECTIONS.items():
-        kinds.append(((F.col("section") == section) & (depth == 1), kind, none, none))
+        yield section, kind, None, None, False
     for section, containers in CONTAINERS.items():
         for container, (kind, under, deep) in containers.items():
-            here = (F.col("section") == section) & (step(2) == container)
-            single = here & (depth == 2) & (F.col("kind") != "array")
-            kinds.append((single, kind, none, F.lit(0)))
-            kinds.append((here & (depth == 3) & (step(3) == "*"), kind, none, place(3)))
+            here = f"{section}/{container}"
+            yield here, kind, None, 0, True
+            yield f"{here}/*", kind, None, 3, False
             if under:
-                for listed in (False, True):
-                    shift = 1 if listed else 0
-                    inner = here & (step(3) == "*" if listed else step(3) != "*") & (step(3 + shift) == under)
-                    parent = place(3) if listed else F.lit(0)
-                    kinds.append((inner & (depth == 3 + shift) & (F.col("kind") != "array"), deep, parent, F.lit(0)))
-                    kinds.append((inner & (depth == 4 + shift) & (step(4 + shift) == "*"), deep, parent, place(4 + shift)))
-    child = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("child_kind"), p.cast("int").alias("parent_pos"), q.cast("int").alias("child_pos"))) for c, k, p, q in kinds])
-    naming = (F.size("below") == 2) & (step(1) == "*") & step(2).isin(*NAMES) & (F.col("kind") == "string")
-    labelled = inside.withColumn("child", F.when(F.col("kind") != "null", child)).withColumn("names", F.when(naming, F.struct(F.when(step(2) == NAMES[0], 0).otherwise(1).alias("rank"), F.col("value").alias("name"))))
-    labelled = labelled.where("child is not null or names is not null").select("record_id", "section", "entry", F.get("below", F.lit(0)).alias("key"), "child", "names", "dewey", "kind", "value")
-    # one entry's rows only: an entry of a list is bounded by its record
-    called = F.min("names").over(Window.partitionBy("record_id", "entry"))["name"]
-    unnamed = labelled.where("key <> '*'").withColumn("dimension", F.col("key"))
-    named = labelled.where("key = '*'").withColumn("dimension", called)
-    return unnamed.unionByName(named).where("child is not null").select("record_id", "section", "dimension", "child.*", "dewey", "entry", "kind", "value")
+                yield f"{here}/{under}", deep, 0, 0, True
+                yield f"{here}/{under}/*", deep, 0, 4, False
+                yield f"{here}/*/{under}", deep, 3, 0, True
+                yield f"{here}/*/{under}/*", deep, 3, 5, False
+
+
+def section_nodes(nodes: DataFrame) -> DataFrame:
+    """(record_id, section, dimension, child_kind, parent_pos, child_pos, dewey, entry, kind, value) of the non-null children in :func:`artifact_nodes`.
+
+    A node's schema path below its section's entry says what it is.  A list
+    position is the child's place; a single value stands for a list of one.
+    ``entry`` is the label of the section's entry that holds the child.
+    """
+    patterns = list(_patterns())
+    inside = nodes.where("kind <> 'null'").where(F.col("below").isin([p[0] for p in patterns]))
+    place = lambda i: F.lit(-1) if i is None else F.lit(0) if i == 0 else F.try_element_at("dewey", F.col("level") + i)
+    child = F.lit(None).cast("struct<child_kind string, parent_pos int, child_pos int>")
+    for path, kind, parent, own, single in patterns:
+        hit = (F.col("below") == path) & (F.col("kind") != "array") if single else F.col("below") == path
+        child = F.when(hit, F.struct(F.lit(kind).alias("child_kind"), place(parent).cast("int").alias("parent_pos"), place(own).cast("int").alias("child_pos"))).otherwise(child)
+    known = inside.withColumn("child", child).where("child is not null")
+    return known.select("record_id", "section", F.col("title").alias("dimension"), "child.*", "dewey", F.slice("dewey", 1, F.col("level") + 1).alias("entry"), "kind", "value")
 
 
 def section_children(nodes: DataFrame) -> DataFrame:
@@ -191,10 +194,8 @@ def dimension_table(nodes: DataFrame) -> DataFrame:
     as a string or as an object with a value.
     """
     own = section_nodes(nodes).where("child_kind in ('coverage', 'dimension')").select("record_id", _dotted(F.col("dewey")).alias("dimension_key"), "section", "dimension", _number(F.col("value")).alias("number"))
-    known = ", ".join(f"'{s}'" for s in SECTIONS)
-    at = F.expr(f"aggregate(path, struct(0 as i, 0 as at), (s, x) -> struct(s.i + 1 as i, if(x in ({known}), s.i + 1, s.at) as at), s -> s.at)")
-    facts = nodes.withColumn("at", at).where("at > 0 and value is not null").withColumn("fact", F.expr("array_join(slice(path, at + 2, size(path)), '/')")).where("fact in ('status', 'status/value', 'scores/raw_score', 'scores/adjusted_score', 'raw_score', 'adjusted_score')")
-    facts = facts.groupBy(F.col("record_id").alias("f_record"), _dotted(F.expr("slice(dewey, 1, at + 1)")).alias("f_key")).agg(
+    facts = nodes.where("below is not null and value is not null").withColumn("fact", F.expr("substring(below, length(section) + 2)")).where("fact in ('status', 'status/value', 'scores/raw_score', 'scores/adjusted_score', 'raw_score', 'adjusted_score')")
+    facts = facts.groupBy(F.col("record_id").alias("f_record"), _dotted(F.slice("dewey", 1, F.col("level") + 1)).alias("f_key")).agg(
         F.max(F.when(F.col("fact").startswith("status"), F.col("value"))).alias("status"), F.max(F.when(F.col("fact").endswith("raw_score"), _number(F.col("value")))).alias("raw_score"), F.max(F.when(F.col("fact").endswith("adjusted_score"), _number(F.col("value")))).alias("adjusted_score")
     )
     return own.join(facts, (F.col("record_id") == F.col("f_record")) & (F.col("dimension_key") == F.col("f_key")), "left").drop("f_record", "f_key")

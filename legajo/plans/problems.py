@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from legajo.functions.session import cut, cut_table, table
 from legajo.operators.hierarchy import below_cycles, descendants, parent_links, resolve_hierarchy
-from legajo.operators.nested import SECTIONS, child_table, dewey_nodes, dimension_table, record_table, schema_tables, section_children
+from legajo.operators.nested import artifact_nodes, child_table, dewey_nodes, dimension_table, record_table, schema_tables, section_children
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _section_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dewey_nodes(table(spark, sf_dir, "aggregation_artifact"), within=tuple(SECTIONS))
+    return artifact_nodes(table(spark, sf_dir, "aggregation_artifact"))
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:

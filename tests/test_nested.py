@@ -1,6 +1,6 @@
 import json
 
-from legajo.operators.nested import SECTIONS, child_table, dewey_nodes, dimension_table, parent_label, record_table, schema_tables, section_children
+from legajo.operators.nested import artifact_nodes, child_table, dewey_nodes, dimension_table, parent_label, record_table, schema_tables, section_children
 
 
 def _rows(df):
@@ -41,7 +41,7 @@ def test_children_of_all_shapes(spark):
         json.dumps({"data": {"coverage_metrics": {"x": 1.0, "y": None}, "dimensions_aggregation": [dict(entry, dimension_name="n"), None]}}),
         json.dumps({"dimension_results": json.dumps({"DE-1": {"dimension_id": "DE-9", "question_breakdown": [None, {"evidence_refs": ["a", None, "b"]}], "correction_factors": {"factor": 1}}})}),
     ]
-    got = _rows(section_children(dewey_nodes(_artifacts(spark, payloads))))
+    got = _rows(section_children(artifact_nodes(_artifacts(spark, payloads))))
     assert got == {
         (0, "coverage_metrics", "x", "coverage", -1, -1),
         (0, "dimensions_aggregation", "n", "dimension", -1, -1),
@@ -58,17 +58,20 @@ def test_children_of_all_shapes(spark):
 
 
 def test_only_the_sections(spark):
-    """Leaving out what stands outside the sections changes no child."""
+    """What stands outside the sections is left out, with the same labels for the rest."""
     payloads = [json.dumps({"a": {"coverage_metrics": {"x": 1}, "b": [1, {"dimensions_aggregation": json.dumps([{"dimension_id": "q", "dnp_scores": 1}])}]}, "c": 3})]
     records = _artifacts(spark, payloads)
-    assert _rows(section_children(dewey_nodes(records))) == _rows(section_children(dewey_nodes(records, within=tuple(SECTIONS)))) == {(0, "coverage_metrics", "x", "coverage", -1, -1), (0, "dimensions_aggregation", "q", "dimension", -1, -1), (0, "dimensions_aggregation", "q", "dnp_score", -1, 0)}
+    assert _rows(section_children(artifact_nodes(records))) == {(0, "coverage_metrics", "x", "coverage", -1, -1), (0, "dimensions_aggregation", "q", "dimension", -1, -1), (0, "dimensions_aggregation", "q", "dnp_score", -1, 0)}
+    every = {(r.record_id, tuple(r.dewey), r.kind, r.value) for r in dewey_nodes(records).collect()}
+    some = {(r.record_id, tuple(r.dewey), r.kind, r.value) for r in artifact_nodes(records).collect()}
+    assert some < every and len(every - some) == 6 and artifact_nodes(records).where("section is null").count() == 0
 
 
 def test_related_tables(spark):
     entry = {"dimension_name": "n", "status": {"value": "done"}, "scores": {"raw_score": 0.5}, "evidence_items": [{"evidence_id": "e1", "is_valid": True, "dnp_compliance_score": "0,5", "rule_violations": ["late", None, "old"]}, {"evidence_id": "e2", "rule_violations": "one"}]}
     payloads = [json.dumps({"coverage_metrics": {"x": "26.4%"}, "dimensions_aggregation": [entry], "dimension_results": {"D": {"question_breakdown": {"question_id": "q", "evidence_refs": ["a"]}}}}), "{"]
     records = _artifacts(spark, payloads)
-    nodes = dewey_nodes(records, within=tuple(SECTIONS))
+    nodes = artifact_nodes(records)
     assert {(r.record_id, r.valid, r.path) for r in record_table(records).collect()} == {(0, True, "x"), (1, False, "x")}
     dimensions = {r.dimension: r for r in dimension_table(nodes).collect()}
     assert dimensions["x"].number == 26.4 and dimensions["n"].status == "done" and dimensions["n"].raw_score == 0.5 and set(dimensions) == {"x", "n", "D"}
