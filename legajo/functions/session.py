@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; only where that is unset (tests), make one."""
+    """Use the folder in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only.
+
+    On a cluster an unset folder is an error: a temporary one would lie on one machine.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="legajo-checkpoint-"))
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local(\[.*\])?$", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="legajo-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,8 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as a compressed table in the shared checkpoint folder and read it back; the table goes when the session's JVM ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
