@@ -603,3 +603,10 @@ def a43_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlap = known.join(other, "question_id").where("mapping_id < m").groupBy("question_id").agg(F.avg(F.try_divide(F.size(F.array_intersect("w", "v")), F.size(F.array_union("w", "v")))).alias("consistency"))
     sums = known.groupBy("question_id").agg(F.count("*").alias("workers"), F.round(F.avg("weight"), 6).alias("mean_quality"), F.max_by("question_text", F.struct(F.length("question_text"), "mapping_id")).alias("longest"))
     return sums.join(overlap, "question_id", "left").select("question_id", "workers", "mean_quality", F.round(F.coalesce("consistency", F.lit(1.0)), 6).alias("consistency"), "longest")
+
+
+# ---- twins of queries elsewhere, from the formula and not from the query's text ----------------
+
+ORACLES["a39_coverage_matrix"] = """
+    WITH d AS (SELECT c_nationkey AS point, o_orderkey % 4 + 1 AS d, least(count(*) / 2.0, 1.0)::DOUBLE AS share FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+    SELECT point, coalesce(max(share) FILTER (d = 1), 0.0) AS de1, coalesce(max(share) FILTER (d = 2), 0.0) AS de2, coalesce(max(share) FILTER (d = 3), 0.0) AS de3, coalesce(max(share) FILTER (d = 4), 0.0) AS de4 FROM d GROUP BY point"""

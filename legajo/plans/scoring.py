@@ -7,7 +7,7 @@ cluster; line items are pieces of evidence and suppliers their sources.
 
 from __future__ import annotations
 
-from legajo.plans.registry import build, spark_query
+from legajo.plans.registry import build
 
 # Base score of a response, weight of a dimension, expected questions of a dimension.
 _BASE = "CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 1.0 WHEN '3-MEDIUM' THEN 0.5 ELSE 0.0 END"
@@ -34,9 +34,8 @@ SHARED = {
     "a7_compliance_histogram": f"WITH {_POINTS} SELECT point, CASE WHEN score >= 0.75 THEN 'CUMPLE' WHEN score >= 0.5 THEN 'CUMPLE_PARCIAL' ELSE 'NO_CUMPLE' END AS compliance, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score FROM points GROUP BY 1, 2",
     "a8_weighted_dimension": f"WITH {_SCORED} SELECT point, dimension, round(sum(score * (1 + evidence)) / sum(1 + evidence), 6) AS weighted, round(100 * sum(score * (1 + evidence)) / sum(sum(score * (1 + evidence))) OVER (PARTITION BY point), 6) AS share FROM scored GROUP BY point, dimension",
     "a9_density": f"WITH {_SCORED} SELECT point, dimension, round(sum(evidence) / CAST(count(*) AS DOUBLE), 6) AS density, round(avg(quality), 6) AS quality, round(least(100.0, 100.0 * count(*) / max({_EXPECTED})), 6) AS completion FROM scored GROUP BY point, dimension",
-    "a10_corrections": f"WITH {_SCORED} SELECT point, dimension, round(avg(score) * CASE WHEN sum(evidence) / CAST(count(*) AS DOUBLE) < 3 THEN 0.8 ELSE 1.0 END * CASE WHEN dimension = 'DE-1' AND stddev_pop(score) > 0.15 * avg(score) THEN 0.9 ELSE 1.0 END, 6) AS corrected FROM scored GROUP BY point, dimension",
+    "a10_corrections": f"WITH {_SCORED} SELECT point, dimension, round(avg(score) * CASE WHEN sum(evidence) / CAST(count(*) AS DOUBLE) < 0.3 THEN 0.8 ELSE 1.0 END * CASE WHEN dimension = 'DE-1' AND stddev_pop(score) > 0.15 * avg(score) THEN 0.9 ELSE 1.0 END, 6) AS corrected FROM scored GROUP BY point, dimension",
     "a11_correction_summary": f"WITH {_SCORED}, c AS (SELECT point, dimension, sum(evidence) / CAST(count(*) AS DOUBLE) < 3 AS sparse, stddev_pop(score) > 0.15 * avg(score) AS uneven FROM scored GROUP BY point, dimension) SELECT dimension, CAST(count_if(sparse) AS BIGINT) AS sparse, CAST(count_if(uneven) AS BIGINT) AS uneven FROM c GROUP BY dimension",
-    "a12_group_strategies": f"WITH {_EVIDENCE} SELECT question_id, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN count(*) < 3 THEN 0.0 ELSE sum(relevance * (0.1 + authority)) / sum(0.1 + authority) END, 6) AS weighted, round(CASE WHEN count(*) < 3 THEN 0.0 ELSE MEDIAN_AT(relevance, 0.5) END, 6) AS majority FROM evidence GROUP BY question_id",
     "a13_evidence_weight": f"WITH {_EVIDENCE} SELECT question_id, evidence_id, round(greatest(0.1, least(2.0, (1 + 0.5 * (authority - 0.5)) * (1 + 0.3 * (credibility - 0.5)) * CASE WHEN dated IS NULL THEN 1.0 ELSE 1.02 END)), 6) AS weight FROM evidence",
     "a14_confidence_level": f"WITH {_EVIDENCE} SELECT question_id, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM (SELECT question_id, round((1 - least(1.0, var_pop(relevance))) * avg(credibility), 9) AS c FROM evidence GROUP BY question_id)",
     "a15_dimension_groups": f"WITH {_EVIDENCE} SELECT dimension, kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM evidence GROUP BY dimension, kind",
@@ -61,7 +60,7 @@ SHARED = {
     "a34_normative": f"WITH {_EVIDENCE} SELECT question_id, round(greatest(0.0, 100 - (sum(CASE WHEN relevance < 0.1 THEN 10 ELSE 0 END) * (1 + 0.1 * count_if(relevance < 0.1)) + 5 * count_if(relevance >= 0.1 AND relevance < 0.3) + 0.5 * count_if(relevance >= 0.3 AND relevance < 0.5))), 6) AS score FROM evidence GROUP BY question_id",
     "a35_alignment": f"WITH {_EVIDENCE} SELECT dimension, round(sum(credibility * relevance) / sum(credibility) + least(0.2, 0.02 * count(DISTINCT source)), 6) AS alignment FROM evidence GROUP BY dimension",
     "a36_deviations": f"WITH {_POINTS} SELECT point, round(abs(0.75 - avg(score)), 6) AS deviation, CASE WHEN abs(0.75 - avg(score)) <= 0.1 THEN 'aligned' WHEN abs(0.75 - avg(score)) <= 0.3 THEN 'minor' WHEN abs(0.75 - avg(score)) <= 0.5 THEN 'major' ELSE 'critical' END AS status FROM points GROUP BY point",
-    "a39_coverage_matrix": f"{_COVERAGE} WHERE question_id % 17 = point % 17 GROUP BY point",
+    "a39_coverage_matrix": f"{_COVERAGE} GROUP BY point",
     "a40_lookup": "SELECT mapping_id, question_id, decalogo_point, dimension, sector FROM {question_mapping} WHERE decalogo_point = 3 OR (dimension = 'DE-2' AND value_chain_link = 'resultado')",
     "a41_registry_distribution": "SELECT decalogo_point, dimension, CAST(count(*) AS BIGINT) AS n, CAST(grouping(dimension) AS BIGINT) AS total FROM {question_mapping} GROUP BY GROUPING SETS ((decalogo_point, dimension), (decalogo_point))",
     "a42_jensen_shannon": """WITH p AS (SELECT o_orderpriority AS k, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_orderpriority), q AS (SELECT o_orderpriority AS k, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS q FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_orderpriority)
@@ -94,4 +93,3 @@ SHARED = {
 }
 
 QUERIES, ORACLES = build(SHARED)
-QUERIES["a39_coverage_matrix"] = spark_query(f"{_COVERAGE} GROUP BY point")  # all answers of a point; the twin keeps the text above

@@ -37,8 +37,6 @@ SHARED = {
     "h3_canonical_hash": "SELECT o_orderkey, SHA(concat_ws('|', CAST(o_custkey AS STRING), o_orderpriority, o_orderstatus)) AS hash FROM {orders}",
     "h4_combined_hash": "SELECT o_custkey, SHA(JOINED(SORTED(COLLECT(md5(CAST(o_orderkey AS STRING)))), '|')) AS hash FROM {orders} GROUP BY o_custkey",
     "h7_merkle_leaves": "SELECT place, SHA(concat(min(CASE WHEN side = 0 THEN h END), coalesce(min(CASE WHEN side = 1 THEN h END), min(CASE WHEN side = 0 THEN h END)))) AS node FROM (SELECT CAST(floor(c_custkey / 2) AS BIGINT) AS place, c_custkey % 2 AS side, SHA(c_name) AS h FROM {customer}) GROUP BY place HAVING min(CASE WHEN side = 0 THEN h END) IS NOT NULL",
-    "h8_chain_check": "SELECT user_id, CAST(count_if(prior IS NULL) AS BIGINT) AS heads, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, lag(md5(CAST(event_id AS STRING))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM {events}) GROUP BY user_id",
-    "h12_layers": "SELECT phase, CAST(count(DISTINCT code) AS BIGINT) AS components FROM {pipeline_index} GROUP BY phase",
     "h15_artifact_integrity": "SELECT record_id, CASE WHEN payload IS NULL THEN 'missing' WHEN trim(payload) = '' THEN 'empty' WHEN substr(trim(payload), length(trim(payload)), 1) NOT IN ('}', ']') THEN 'truncated' ELSE 'ok' END AS state, CAST(length(payload) AS BIGINT) AS size_, SHA(coalesce(payload, '')) AS hash FROM {aggregation_artifact}",
     "h16_required_fields": "SELECT row_id, (CASE WHEN content IS NULL THEN 1 ELSE 0 END) + (CASE WHEN token_count IS NULL THEN 1 ELSE 0 END) + (CASE WHEN sentence_count IS NULL THEN 1 ELSE 0 END) + (CASE WHEN provenance.source_hash IS NULL THEN 1 ELSE 0 END) AS missing FROM {processed_chunk}",
     "h17_constraints": "SELECT l_orderkey, count(*) >= 3 AND avg(l_quantity) / 50 >= 0.5 AND avg(l_discount) <= 0.2 AS satisfied FROM {lineitem} GROUP BY l_orderkey",
@@ -74,9 +72,6 @@ SHARED = {
     "g13_strength": f"WITH {_LINKS} SELECT b, round(avg(confidence) + least(0.2, 0.05 * count(DISTINCT a)), 6) AS strength FROM links GROUP BY b",
     "g14_inventory": "SELECT word, CAST(count(DISTINCT chunk_id) AS BIGINT) AS chunks FROM (SELECT chunk_id, UNNEST(FINDALL(content, '[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+ [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+')) AS word FROM {processed_chunk}) GROUP BY word",
     "g16_node_ids": f"WITH {_LINKS} SELECT a, b, substr(SHA(concat(CAST(a AS STRING), '>', CAST(b AS STRING))), 1, 16) AS edge_id FROM links",
-    "g17_dangling": "SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM {lineitem}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F')",
-    "g19_back_edges": f"WITH {_LINKS} SELECT CAST(count_if(a > b) AS BIGINT) AS back_edges, CAST(count_if(a = b) AS BIGINT) AS loops, CAST(count(*) AS BIGINT) AS n FROM links",
-    "s5_cache_misses": "SELECT o_orderkey FROM {orders} WHERE md5(CAST(o_custkey AS STRING)) NOT IN (SELECT md5(CAST(c_custkey AS STRING)) FROM {customer} WHERE c_acctbal > 0)",
     "s6_page_ranges": "SELECT doc_id, CAST(floor(page / 3) AS BIGINT) AS part, CAST(min(page) AS BIGINT) AS first_page, CAST(max(page) AS BIGINT) AS last_page FROM (SELECT doc_id, UNNEST(RANGE0) AS page FROM (SELECT doc_id, CAST(floor(length(text) / 2000) AS INT) AS last FROM {documents})) GROUP BY doc_id, floor(page / 3)",
     "s4_needs_ocr": "SELECT chunk_id, length(trim(content)) < 50 OR LEN(FINDALL(content, '[^a-zA-ZáéíóúñüÁÉÍÓÚÑ0-9 .,;:!?()%\\n-]')) > 0.3 * length(content) AS needs_ocr FROM (SELECT chunk_id, min(content) AS content FROM {processed_chunk} GROUP BY chunk_id)",
     "s14_manifest": "SELECT channel, metadata.policy AS policy, CAST(count(*) AS BIGINT) AS sections, CAST(sum(length(content)) AS BIGINT) AS chars FROM {processed_chunk} GROUP BY channel, metadata.policy",

@@ -16,7 +16,6 @@ SHARED = {
     "t6_keywords": f"""SELECT doc_id, word, n, CAST(place AS BIGINT) AS place FROM (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM (
         SELECT doc_id, word, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, UNNEST(WORDS(text)) AS word FROM {{documents}}) WHERE length(word) > 2 AND word NOT IN ({STOP}) GROUP BY doc_id, word)) WHERE place <= 10""",
     "t7_metrics": "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(replace(text, ' ', '')) AS BIGINT) AS solid, CAST(LEN(WORDS(text)) AS BIGINT) AS words, CAST(LEN(SPLIT(text, '\\n')) AS BIGINT) AS lines, CAST(LEN(SPLIT(text, '\\n\\n')) AS BIGINT) AS paragraphs FROM {documents}",
-    "t8_densities": "SELECT doc_id, round(LEN(FINDALL(text, '[0-9]')) / CAST(length(text) AS DOUBLE), 6) AS digits, round(LEN(FINDALL(text, '[.,;:!?]')) / CAST(length(text) AS DOUBLE), 6) AS marks, round(LEN(FINDALL(text, '[A-Z]')) / CAST(length(text) AS DOUBLE), 6) AS capitals FROM {documents} WHERE length(text) > 0",
     "t9_tf_vectors": """SELECT doc_id, word, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, word, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, UNNEST(WORDS(text)) AS word FROM {documents})
         WHERE word IN (SELECT word FROM (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS place FROM (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, UNNEST(WORDS(text)) AS word FROM {documents}) GROUP BY word)) WHERE place <= 1000) GROUP BY doc_id, word)""",
     "t11_metadata_flags": "SELECT doc_id, 1 - ((CASE WHEN lang IS NULL THEN 1 ELSE 0 END) + (CASE WHEN source IS NULL THEN 1 ELSE 0 END) + (CASE WHEN municipality_code IS NULL THEN 1 ELSE 0 END) + (CASE WHEN n_chars IS NULL THEN 1 ELSE 0 END)) / CAST(4 AS DOUBLE) AS completeness FROM {documents}",
@@ -24,16 +23,12 @@ SHARED = {
     "t13_jaccard": """SELECT a.mapping_id AS id_a, b.mapping_id AS id_b, round(LEN(INTERSECT_OF(a.w, b.w)) / CAST(LEN(a.w) + LEN(b.w) - LEN(INTERSECT_OF(a.w, b.w)) AS DOUBLE), 6) AS jaccard
         FROM (SELECT mapping_id, question_id, DISTINCT_OF(WORDS(question_text)) AS w FROM {question_mapping}) a JOIN (SELECT mapping_id, question_id, DISTINCT_OF(WORDS(question_text)) AS w FROM {question_mapping}) b ON a.question_id = b.question_id AND a.mapping_id < b.mapping_id WHERE LEN(a.w) + LEN(b.w) > 0""",
     "t15_stable_id": "SELECT doc_id, concat('doc_', substr(SHA(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))), 1, 16)) AS stable_id FROM {documents}",
-    "t16_citation": "SELECT doc_id, concat(coalesce(source, 'Unknown Author'), ' (', coalesce(CAST(CAST(year(published_at) AS INT) AS STRING), 'n.d.'), '). ', substr(text, 1, 40), '.') AS apa FROM {documents}",
     "t17_responses": "SELECT event_id, CASE WHEN lower(event_type) IN ('view', 'click') THEN 'Sí' WHEN lower(event_type) IN ('add_to_cart', 'search') THEN 'Parcial' WHEN event_type IS NULL THEN 'NI' ELSE 'No' END AS response FROM {events}",
     "t18_clamp": "SELECT l_orderkey, l_linenumber, greatest(0.0, least(1.0, l_discount * 15 - 0.2)) AS clamped FROM {lineitem}",
     "t19_content_class": """SELECT doc_id, CASE WHEN tables > 0.1 * lines THEN 'table' WHEN lists > 0.05 * lines THEN 'list' WHEN words < 50 THEN 'short' WHEN words > 1000 THEN 'long' ELSE 'text' END AS class FROM (
         SELECT doc_id, LEN(WORDS(text)) AS words, LEN(SPLIT(text, '\\n')) AS lines, LEN(FINDALL(text, '[|;].*[|;]')) AS tables, LEN(FINDALL(text, '(^|\\n)[-*0-9]+[.)] ')) AS lists FROM {documents})""",
     "t20_temporal": "SELECT doc_id, year, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, UNNEST(FINDALL(text, '(?:19|20)[0-9][0-9]')) AS year FROM {documents}) GROUP BY doc_id, year",
-    "t22_syntactic": "SELECT mapping_id, round(0.7 * LEN(INTERSECT_OF(w, k)) / CAST(LEN(w) + LEN(k) - LEN(INTERSECT_OF(w, k)) AS DOUBLE), 6) AS alignment FROM (SELECT mapping_id, DISTINCT_OF(WORDS(question_text)) AS w, DISTINCT_OF(WORDS(point_name)) AS k FROM {question_mapping}) WHERE LEN(w) + LEN(k) > 0",
-    "c3_token_windows": """SELECT doc_id, CAST(floor(place / 64) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS tokens, min(word) AS first_word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS place FROM (SELECT doc_id, PLACED_WORDS FROM {documents})) GROUP BY doc_id, floor(place / 64)""",
     "c6_page_anchor": "SELECT chunk_id, CAST(floor(min(start_at) / 2000) + 1 AS BIGINT) AS page FROM (SELECT chunk_id, provenance.character_offsets[OFFSET0] AS start_at FROM {processed_chunk}) WHERE start_at IS NOT NULL GROUP BY chunk_id",
-    "c7_context": """SELECT chunk_id, substr(coalesce(lag(content) OVER w, ''), 1, 80) AS before_text, substr(coalesce(lead(content) OVER w, ''), 1, 80) AS after_text FROM (SELECT chunk_id, min(provenance.source_document) AS source, min(metadata.chunk_index) AS place, min(content) AS content FROM {processed_chunk} GROUP BY chunk_id) WINDOW w AS (PARTITION BY source ORDER BY place, chunk_id)""",
     "r1_bm25": f"""WITH t AS (SELECT doc_id, word, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, UNNEST(WORDS(text)) AS word FROM {{documents}}) GROUP BY doc_id, word),
         d AS (SELECT doc_id, sum(tf) AS dl FROM t GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
         f AS (SELECT word, count(*) AS df FROM t WHERE word IN ({QUERY}) GROUP BY word)
