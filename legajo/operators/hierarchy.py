@@ -18,7 +18,7 @@ already known, so total work is proportional to the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.session import WHITE, cut
@@ -146,3 +146,24 @@ def descendants(resolved: DataFrame) -> DataFrame:
     """
     steps = resolved.where("path is not null").select(F.col("code").alias("descendant"), (F.size("path") - 1).alias("length"), F.posexplode("path").alias("pos", "ancestor"))
     return steps.where("pos < length").select(F.col("ancestor").alias("code"), "descendant", (F.col("length") - F.col("pos")).alias("distance"))
+
+
+def preorder_intervals(resolved: DataFrame) -> DataFrame:
+    """(code, root_code, tree_depth, first, last) from the ``path`` of :func:`resolve_hierarchy`: all descendants in one row for each node.
+
+    Nodes are counted in preorder, a node's descendants being those with ``first``
+    from its own plus one up to its ``last``.  Paths in order are nodes in
+    preorder; a mark that sorts behind all longer paths stands for the end of a
+    node's descendants, and places are counted within ranges of paths and shifted
+    by the counts of the ranges before.  Nodes on cycles and below them have no
+    path and null places.
+    """
+    known = resolved.where("path is not null").select("code", "root_code", "tree_depth", "path")
+    ends = known.select("code", F.concat("path", F.array(F.lit("\U0010ffff"))).alias("path"), F.lit(0).alias("real"))
+    ranges = known.select("code", "path", F.lit(1).alias("real")).unionByName(ends).repartitionByRange("path").select("code", "path", "real", F.spark_partition_id().alias("range"))
+    ranges = cut(ranges)
+    before = ranges.groupBy("range").agg(F.sum("real").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each range
+    counted = ranges.withColumn("place", F.sum("real").over(Window.partitionBy("range").orderBy("path", "real", "code").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = counted.join(F.broadcast(before.select("range", "shift")), "range").select("code", "real", (F.col("place") + F.col("shift")).alias("place"))
+    bounds = placed.groupBy("code").agg(F.max(F.when(F.col("real") == 1, F.col("place"))).alias("first"), F.max(F.when(F.col("real") == 0, F.col("place"))).alias("last"))
+    return resolved.select("code", "root_code", "tree_depth").join(bounds, "code", "left")

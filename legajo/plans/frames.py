@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from legajo.functions.session import cut, ensure_checkpoint_dir, table
 from legajo.functions.expressions import column_of
 from legajo.operators import chunking, folds, graphs, lineage, transport
-from legajo.operators.hierarchy import dependency_edges
 from legajo.operators.learning import adaptive_scores
 from legajo.operators.nested import dewey_nodes
 from legajo.operators.similar import copy_classes, removed_copies, similar_pairs
@@ -41,10 +40,6 @@ def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.simple_paths(_nation_edges(spark, sf_dir), 4).select(F.array_join("path", ">").alias("path"))
-
-
-def g1_simple_paths_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.simple_paths(_nation_edges(spark, sf_dir), 10).select(F.array_join("path", ">").alias("path"))
 
 
@@ -52,11 +47,6 @@ def g3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.strong_components(_nation_edges(spark, sf_dir))
 
 
-def h12_topological_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    components = table(spark, sf_dir, "pipeline_index")
-    return graphs.topological_layers(components.select(F.col("code").alias("node")).where("node is not null"), dependency_edges(components))
-
-
 def g3_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.closure(_nation_edges(spark, sf_dir))
 
@@ -101,7 +91,7 @@ def h6_chained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m8_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.rate_limited(_timed(spark, sf_dir).where("value > 20"), "event_type", "seconds", 5).select("event_id", "emitted")
+    return folds.rate_limited(_timed(spark, sf_dir), "event_type", "seconds", 5).select("event_id", "emitted")
 
 
 def m17_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +155,7 @@ def s19_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o9_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.shortest_paths(_nation_edges(spark, sf_dir))
+    return graphs.shortest_paths(_nation_edges(spark, sf_dir), None)
 
 
 def g8_cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,10 +210,8 @@ QUERIES = {
     "c5_overlap": c5_overlap,
     "c8_evidence_chunks": _chunks(chunking.evidence_chunks),
     "g1_simple_paths": g1_simple_paths,
-    "g1_simple_paths_10": g1_simple_paths_10,
     "g3_closure": g3_closure,
     "g3_components": g3_components,
-    "h12_topological_layers": h12_topological_layers,
     "g4_page_rank": g4_page_rank,
     "h11_horn_labels": h11_horn_labels,
     "h7_merkle_root": h7_merkle_root,
@@ -246,9 +234,8 @@ ORACLES = {
     "s19_levels": "SELECT 'question' AS level, count(*) AS n FROM question_mapping UNION ALL SELECT 'dimension', count(DISTINCT dimension) FROM question_mapping",
     "r5_vector_search": """SELECT query_id, vec_id, score, place FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (
         SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE score > 0) WHERE place <= 10""",
-    "g1_simple_paths": f"WITH RECURSIVE {_EDGES}, p AS (SELECT [a, b] AS path FROM e WHERE a <> b UNION ALL SELECT list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 5) SELECT array_to_string(path, '>') AS path FROM p",
     "g3_closure": f"WITH RECURSIVE {_EDGES}, c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c",
-    "g1_simple_paths_10": f"WITH RECURSIVE {_EDGES}, p AS (SELECT [a, b] AS path FROM e WHERE a <> b UNION ALL SELECT list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 11) SELECT array_to_string(path, '>') AS path FROM p",
+    "g1_simple_paths": f"WITH RECURSIVE {_EDGES}, p AS (SELECT [a, b] AS path FROM e WHERE a <> b UNION ALL SELECT list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 11) SELECT array_to_string(path, '>') AS path FROM p",
     "g3_components": f"WITH RECURSIVE {_EDGES}, c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, least(node, min(y.b)) AS component FROM n LEFT JOIN (SELECT c.a, c.b FROM c JOIN c d ON c.a = d.b AND c.b = d.a) y ON node = y.a GROUP BY node",
     "h11_horn_labels": """WITH f AS (SELECT DISTINCT o_custkey AS entity, 's' || o_orderstatus AS fact FROM orders), a AS (SELECT entity FROM f WHERE fact IN ('sF', 'sO') GROUP BY entity HAVING count(*) = 2), m AS (SELECT entity FROM a WHERE entity IN (SELECT entity FROM f WHERE fact = 'sP'))
         SELECT entity, fact FROM f UNION ALL SELECT entity, 'active' FROM a UNION ALL SELECT entity, 'mixed' FROM m UNION ALL SELECT entity, 'review' FROM m""",

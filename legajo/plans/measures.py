@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions.session import cut_table, table
 from legajo.operators.lineage import broken_links
+from legajo.operators.ranks import order_statistics, places
 from legajo.operators.vectors import top_similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,6 +606,70 @@ def a43_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(overlap, "question_id", "left").select("question_id", "workers", "mean_quality", F.round(F.coalesce("consistency", F.lit(1.0)), 6).alias("consistency"), "longest")
 
 
+# ---- orders over all rows ---------------------------------------------------------------------
+# The twins of these are the SQL texts in the other modules.
+
+
+def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, predicted = F.col("o_totalprice") / 500000, (150000 + (F.col("o_custkey") % 100) * 100) / F.lit(500000.0)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), truth.alias("truth"), predicted.alias("predicted"), F.abs(truth - predicted).alias("s"))
+
+
+def _quantiles(pairs: DataFrame) -> DataFrame:
+    at = lambda level: F.least(F.col("n"), F.ceil((F.col("n") + 1) * level)) - 1
+    return order_statistics(pairs, "kind", "s", {"q90": at(0.9), "q95": at(0.95)}, ("id",))
+
+
+@query()
+def stat_p2_conformal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantiles(_calibration(spark, sf_dir)).select("kind", F.round(1e-9 + F.col("q90"), 6).alias("q90"), F.round(1e-9 + F.col("q95"), 6).alias("q95"))
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _calibration(spark, sf_dir)
+    # one row for each kind of question
+    joined = pairs.join(_quantiles(pairs).select("kind", "q90"), "kind")
+    return joined.withColumn("low", F.greatest(F.lit(0.0), F.col("predicted") - F.col("q90"))).withColumn("high", F.least(F.lit(1.0), F.col("predicted") + F.col("q90")))
+
+
+@query()
+def stat_p3_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _intervals(spark, sf_dir).select("id", F.round(1e-9 + F.col("low"), 6).alias("low"), F.round(1e-9 + F.col("high"), 6).alias("high"))
+
+
+@query()
+def stat_p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.avg((F.abs(F.col("truth") - F.col("predicted")) <= F.col("q90")).cast("double"))
+    return _intervals(spark, sf_dir).groupBy("kind").agg(F.round(1e-9 + held, 6).alias("coverage"), F.round(1e-9 + F.avg(F.col("high") - F.col("low")), 6).alias("width"))
+
+
+@query()
+def m6_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("ts is not null").select("event_type", F.coalesce("value", F.lit(0.0)).alias("value"), "event_id")
+    at = {f"p{round(100 * q)}": F.floor(F.col("n") * q) for q in (0.5, 0.95, 0.99)}
+    return order_statistics(events, "event_type", "value", at, ("event_id",)).select("event_type", *at)
+
+
+@query()
+def h1_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("vec"), "o_totalprice")
+    return places(orders, [F.col("o_totalprice").desc_nulls_last(), F.col("vec")]).select("vec", (F.col("place") + 1).alias("place"))
+
+
+@query()
+def h2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    tied = F.row_number().over(Window.partitionBy("o_totalprice").orderBy("o_orderkey")) > 1
+    return places(orders.withColumn("tied", tied), [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey")]).select("o_orderkey", "place", "tied")
+
+
+@query()
+def r8_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    lists = [places(parts.select("p_partkey", c), [F.col(c).desc(), F.col("p_partkey")]).select("p_partkey", (1.0 / (61 + F.col("place"))).alias("s")) for c in ("p_retailprice", "p_size")]
+    return lists[0].unionByName(lists[1]).groupBy("p_partkey").agg(F.round(1e-9 + F.sum("s"), 9).alias("rrf"))
+
+
 # ---- twins of queries elsewhere, from the formula and not from the query's text ----------------
 
 ORACLES["a39_coverage_matrix"] = """

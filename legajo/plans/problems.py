@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from legajo.functions.session import cut, cut_table, table
-from legajo.operators.hierarchy import below_cycles, descendants, parent_links, resolve_hierarchy
+from legajo.operators.hierarchy import below_cycles, descendants, parent_links, preorder_intervals, resolve_hierarchy
 from legajo.operators.nested import artifact_nodes, child_table, dewey_nodes, dimension_table, record_table, schema_tables, section_children
 
 
@@ -50,7 +50,11 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(below_cycles(links, cut(resolve_hierarchy(links, with_paths=True))))
 
 
-QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p5_records": p5_records, "p5_dimensions": p5_dimensions, "p5_children": p5_children, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}
+def p7_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preorder_intervals(cut(resolve_hierarchy(_links(spark, sf_dir), with_paths=True)))
+
+
+QUERIES = {"p5_found": p5_found, "p5_nodes": p5_nodes, "p5_records": p5_records, "p5_dimensions": p5_dimensions, "p5_children": p5_children, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants, "p7_intervals": p7_intervals}
 
 _KEY = r"upper(regexp_replace(regexp_replace({}, '^[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g'), '^0+(.)', '\1'))"
 

@@ -1,6 +1,6 @@
 import random
 
-from legajo.operators.hierarchy import below_cycles, descendants, parent_links, resolve_hierarchy
+from legajo.operators.hierarchy import below_cycles, descendants, parent_links, preorder_intervals, resolve_hierarchy
 
 
 def _brute(parents):
@@ -68,3 +68,16 @@ def test_descendants_below_cycles(spark):
     assert {("d", "f", 2), ("y", "f", 3), ("z", "f", 4), ("x", "f", 5), ("self", "under", 1)} <= want
     found = descendants(below_cycles(links, resolve_hierarchy(links, with_paths=True)))
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_intervals_hold_the_descendants(spark):
+    """Exactly the descendants of a node have their first place within its interval."""
+    rng = random.Random(9)
+    parents = {f"n{i}": f"n{rng.randrange(i)}" if i and rng.random() > 0.1 else None for i in range(80)} | {"c1": "c2", "c2": "c1", "c3": "c1"}
+    links = spark.createDataFrame(list(parents.items()), "code string, parent string")
+    resolved = resolve_hierarchy(links, with_paths=True)
+    rows = {r.code: r for r in preorder_intervals(resolved).collect()}
+    want = {(r.code, r.descendant) for r in descendants(resolved).collect()}
+    inside = {(a.code, b.code) for a in rows.values() for b in rows.values() if a.first is not None and b.first is not None and a.first < b.first <= a.last}
+    assert inside == want and rows["c3"].first is None and len(rows) == len(parents)
+    assert sorted(r.first for r in rows.values() if r.first) == list(range(1, 81)) and preorder_intervals(resolved.where("false")).count() == 0

@@ -31,7 +31,7 @@ def test_components_are_mutually_reachable(spark):
 
 
 def test_simple_paths_reach_ten_edges(spark):
-    paths = frames.QUERIES["g1_simple_paths_10"](spark, "/root/testdata/sf0.001").collect()
+    paths = frames.QUERIES["g1_simple_paths"](spark, "/root/testdata/sf0.001").collect()
     assert max(r.path.count(">") for r in paths) == 10
 
 

@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from legajo.functions.canonical import canonical_json
 from legajo.functions.session import ensure_checkpoint_dir
+from legajo.operators.ranks import order_statistics, places
 from legajo.plans import measures
 
 
@@ -40,3 +42,20 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="shared|share"):
         ensure_checkpoint_dir(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_places(spark):
+    """Places over all rows and within groups, one of them null and one with most rows; ties are broken by the order."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(40)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, g string, v int").repartition(5)
+    for group in ((), ("g",)):
+        got = {r.i: r.place for r in places(df, [F.col("v").desc(), F.col("i")], group).collect()}
+        for name in {g for _, g, _ in rows} if group else {None}:
+            own = sorted((r for r in rows if not group or r[1] == name), key=lambda r: (-r[2], r[0]))
+            assert [got[r[0]] for r in own] == list(range(len(own)))
+    got = {r.g: (r.n, r.mid, r.beyond) for r in order_statistics(df, "g", "v", {"mid": F.floor(F.col("n") / 2), "beyond": F.col("n")}).collect()}
+    for name in ("a", "b", None):
+        own = sorted(r[2] for r in rows if r[1] == name)
+        assert got[name] == (len(own), own[len(own) // 2], None)
+    assert places(df.where("false"), [F.col("v")]).count() == 0
