@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.functions.session import cut_table
@@ -156,10 +156,15 @@ def repeated_pieces(rows: DataFrame, least: DataFrame, min_documents: int = 5) -
     distinct documents, over (source, piece, chunk_id), which no hot piece skews.
     """
     by_rows = rows.select("source", F.explode(F.array_distinct("pieces")).alias("piece")).groupBy("source", "piece").agg(F.count("*").alias("seen")).where(f"seen >= {min_documents}")
-    often = cut_table(by_rows.join(least, "source").where("seen >= least").select("source", "piece", "least"))
-    at = rows.select("chunk_id", "source", F.explode(F.array_distinct("pieces")).alias("piece")).join(_few(often), ["source", "piece"])
-    documents = at.groupBy("source", "piece", "least", "chunk_id").agg(F.lit(1)).groupBy("source", "piece", "least").agg(F.count("*").alias("documents"))
-    return documents.where("documents >= least").select("source", "piece", "documents")
+    often = cut_table(by_rows.join(least, "source").where("seen >= least").select(_place().alias("place")))
+    at = rows.select("chunk_id", "source", F.explode(F.array_distinct("pieces")).alias("piece")).withColumn("place", _place()).join(_few(often), "place", "left_semi")
+    documents = at.groupBy("source", "piece", "chunk_id").agg(F.lit(1)).groupBy("source", "piece").agg(F.count("*").alias("documents"))
+    return documents.join(least, "source").where("documents >= least").select("source", "piece", "documents")
+
+
+def _place() -> Column:
+    """Source and piece as one number, so that what is broadcast is one number for each repeated piece."""
+    return F.xxhash64("source", "piece")
 
 
 def repeated_lines(chunks: DataFrame, min_documents: int = 5, min_share: float = 0.1) -> DataFrame:
@@ -172,8 +177,8 @@ def repeated_lines(chunks: DataFrame, min_documents: int = 5, min_share: float =
     known = _known(chunks)
     least = cut_table(_least(known, min_documents, min_share))
     lines = cut_table(known.mapInArrow(_lines, LINE_SCHEMA))
-    pieces = cut_table(repeated_pieces(lines, least, min_documents).select("source", "piece"))
-    inside = lines.select("chunk_id", "source", "line_no", "line_key", F.size(F.array_distinct("pieces")).alias("n"), F.explode(F.array_distinct("pieces")).alias("piece")).join(_few(pieces), ["source", "piece"], "left_semi")
+    pieces = cut_table(repeated_pieces(lines, least, min_documents).select(_place().alias("place")))
+    inside = lines.select("chunk_id", "source", "line_no", "line_key", F.size(F.array_distinct("pieces")).alias("n"), F.explode(F.array_distinct("pieces")).alias("piece")).withColumn("place", _place()).join(_few(pieces), "place", "left_semi")
     # a chunk delivered again has its lines twice, so pieces are told apart
     whole = inside.groupBy("chunk_id", "source", "line_no", "line_key", "n").agg(F.count_distinct("piece").alias("held")).where("held = n")
     single = whole.where("n = 1").select("chunk_id", "line_no")
