@@ -272,6 +272,25 @@ def c7_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("chunk_id", F.coalesce(F.expr("get(s, at - 2)"), F.lit("")).alias("before_text"), F.expr("get(s, at - 1)").alias("item"), F.coalesce(F.expr("get(s, at)"), F.lit("")).alias("after_text"))
 
 
+@query(r"""
+    WITH l AS (SELECT DISTINCT dimension AS class, array_to_string(regexp_extract_all(lower(k), '[\p{L}\p{N}_]+'), ' ') AS k FROM (SELECT dimension, unnest(keywords) AS k FROM question_mapping) WHERE dimension IS NOT NULL AND regexp_matches(k, '[\p{L}\p{N}_]')),
+    n AS (SELECT class, count(*) AS n FROM l GROUP BY class), q AS (SELECT mapping_id, ' ' || array_to_string(regexp_extract_all(lower(question_text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS line FROM question_mapping),
+    h AS (SELECT mapping_id, class, count(*) / any_value(n)::DOUBLE AS score FROM q JOIN l ON contains(line, ' ' || k || ' ') JOIN n USING (class) GROUP BY mapping_id, class)
+    SELECT mapping_id, class, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'alta' WHEN score >= 0.4 THEN 'media' WHEN score >= 0.2 THEN 'baja' ELSE 'nula' END AS relevance FROM h QUALIFY row_number() OVER (PARTITION BY mapping_id ORDER BY score DESC, class) = 1""")
+def e1_keyword_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class whose keywords a question holds the greatest part of; keywords are met by their first word, then as a whole."""
+    mapping = table(spark, sf_dir, "question_mapping")
+    keywords = mapping.where("dimension is not null").select(F.col("dimension").alias("class"), F.explode("keywords").alias("k")).select("class", words("k").alias("w")).where("size(w) > 0").distinct()
+    keywords = keywords.select("class", F.array_join("w", " ").alias("k"), F.get("w", F.lit(0)).alias("first"))
+    sizes = keywords.groupBy("class").agg(F.count("*").alias("n"))
+    lines = mapping.select("mapping_id", words("question_text").alias("w")).select("mapping_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("line"), F.explode(F.array_distinct("w")).alias("first"))
+    held = lines.join(keywords, "first").where(F.contains("line", F.concat(F.lit(" "), "k", F.lit(" ")))).groupBy("mapping_id", "class").agg(F.count("*").alias("hits"))
+    scored = held.join(F.broadcast(sizes), "class").withColumn("score", F.col("hits") / F.col("n"))  # one row for each dimension
+    best = scored.groupBy("mapping_id").agg(F.min_by(F.struct("class", "score"), F.struct(-F.col("score"), "class")).alias("b")).select("mapping_id", "b.*")
+    level = F.when(F.col("score") >= 0.7, "alta").when(F.col("score") >= 0.4, "media").when(F.col("score") >= 0.2, "baja").otherwise("nula")
+    return best.select("mapping_id", "class", F.round("score", 6).alias("score"), level.alias("relevance"))
+
+
 # ---- retrieval ------------------------------------------------------------------------------
 
 _COSINES = """q AS (SELECT vec_id AS query_id, embedding AS e, label AS query FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT query_id, query, vec_id, label, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings)"""

@@ -75,7 +75,6 @@ SHARED = {
     "a55_evidence_summary": f"WITH {_EVIDENCE} SELECT dimension, CAST(count(*) AS BIGINT) AS total, round(avg(relevance), 6) AS mean_relevance, CAST(count_if(credibility >= 0.8) AS BIGINT) AS confident, CAST(count(DISTINCT source) AS BIGINT) AS sources, CAST(count(DISTINCT kind) AS BIGINT) AS kinds FROM evidence GROUP BY dimension",
     "a57_satisfaction": f"WITH {_POINTS} SELECT dimension, round(avg(score), 6) AS mean_score, CASE WHEN avg(score) >= 0.8 THEN 'full' WHEN avg(score) >= 0.6 THEN 'mostly' WHEN avg(score) >= 0.4 THEN 'partial' WHEN avg(score) >= 0.2 THEN 'low' ELSE 'none' END AS level FROM dims GROUP BY dimension",
     "a58_pipeline_quality": f"WITH {_EVIDENCE}, q AS (SELECT 0.3 * relevance + 0.2 * credibility + 0.2 * authority + 0.2 * relevance + 0.1 AS s FROM evidence) SELECT round(avg(s), 6) AS mean_quality, round(min(s), 6) AS least, round(max(s), 6) AS most, CAST(count(*) AS BIGINT) AS n FROM q",
-    "e1_keyword_scoring": "SELECT chunk_id, round(hits / CAST(6 AS DOUBLE), 6) AS score, CASE WHEN hits >= 5 THEN 'alta' WHEN hits >= 3 THEN 'media' WHEN hits >= 2 THEN 'baja' ELSE 'nula' END AS relevance FROM (SELECT chunk_id, max((CASE WHEN lower(content) LIKE '%agua%' THEN 1 ELSE 0 END) + (CASE WHEN lower(content) LIKE '%víctimas%' THEN 1 ELSE 0 END) + (CASE WHEN lower(content) LIKE '%meta%' THEN 1 ELSE 0 END) + (CASE WHEN lower(content) LIKE '%derechos%' THEN 1 ELSE 0 END) + (CASE WHEN lower(content) LIKE '%plan%' THEN 1 ELSE 0 END) + (CASE WHEN lower(content) LIKE '%indicador%' THEN 1 ELSE 0 END)) AS hits FROM {processed_chunk} GROUP BY chunk_id)",
     "e2_rank_dedup": "SELECT chunk_id, hash FROM (SELECT chunk_id, md5(lower(trim(content))) AS hash, row_number() OVER (PARTITION BY md5(lower(trim(content))) ORDER BY coalesce(token_count, 0) DESC, chunk_id, row_id) AS place FROM {processed_chunk}) WHERE place = 1",
     "e3_evidence_types": "SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN content LIKE '%«%' OR content LIKE '%“%' THEN 'quote' WHEN LEN(FINDALL(content, '[0-9]+[.,]?[0-9]* ?%')) > 0 THEN 'statistic' WHEN lower(content) LIKE '%según%' THEN 'expert' WHEN lower(content) LIKE '%caso%' THEN 'case' ELSE 'paraphrase' END AS kind FROM {processed_chunk}) GROUP BY kind",
     "e4_confidence": "SELECT row_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN length(content) > 500 THEN 0.1 WHEN length(content) < 100 THEN -0.1 ELSE 0.0 END + 0.05 * LEN(FINDALL(content, 'según|indicador|meta')))), 6) AS confidence FROM {processed_chunk}",
