@@ -1,4 +1,4 @@
-from legajo.plans import extended, scoring
+from legajo.plans import extended, scoring, statistics
 
 
 def _tables(spark, folder, **tables):
@@ -47,3 +47,21 @@ def test_fuzzy_sections_match_brute_force(spark):
     want = {(a.kw_id, b.kw_id, d) for a in rows for b in rows if a.kw_id < b.kw_id and (d := levenshtein(a.keyword.lower(), b.keyword.lower())) <= 3}
     assert {tuple(r) for r in extended.QUERIES["t14_fuzzy_sections"](spark, sf).collect()} == want
     assert any(a[0] != b[0] for a, b in ((x.keyword.lower(), y.keyword.lower()) for x in rows for y in rows if (x.kw_id, y.kw_id) in {w[:2] for w in want}))
+
+
+def test_worked_scores(spark, tmp_path):
+    """The multipliers, point score and strength that are worked out by hand."""
+    # completeness is o_orderkey % 11 / 10, quality o_custkey % 11 / 10, the dimension DE-(o_orderkey % 4 + 1)
+    orders = [(20, 10, "1-URGENT"), (17, 7, "3-MEDIUM")]
+    sf = _tables(
+        spark,
+        tmp_path,
+        orders=(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string"),
+        customer=([(10, 0), (7, 0)], "c_custkey bigint, c_nationkey int"),
+        nation=([(0, 0)], "n_nationkey int, n_regionkey int"),
+        lineitem=([(1, 1, 50, 0.09)], "l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_discount double"),
+    )
+    got = {r.question_id: (r.multiplier, r.score) for r in scoring.QUERIES["a2_evidence_multiplier"](spark, sf).collect()}
+    assert got == {20: (1.151, 1.151), 17: (0.941, 0.4705)}
+    assert {r.document: r.score for r in scoring.QUERIES["a4_point_scores"](spark, sf).collect()} == {10: 1.151, 7: 0.4705}
+    assert [round(r.strength, 6) for r in statistics.QUERIES["g13_strength"](spark, sf).collect()] == [0.95]
