@@ -54,6 +54,8 @@ BINS = 20
 LEVELS = tuple(round(0.03 * 1.2**i, 4) for i in range(20))
 #: Function words that are learnt: share of a language's documents, share of these where the word stands last, letters, number, and least documents.
 LEARN_DOCUMENTS, LEARN_LAST, LEARN_LETTERS, LEARN_WORDS, LEARN_LEAST = 0.3, 0.05, 3, 40, 20
+#: Times that a phrase or an item stands in a text at least to be dominant, with given and with learnt function words.
+LEAST_TIMES, LEAST_TIMES_LEARNT = 4, 8
 #: Multiples of the usual share of the commonest phrase and item from which they are dominant.
 PHRASE_FACTOR, ITEM_FACTOR = 2.0, 2.0
 
@@ -204,7 +206,8 @@ def profile(text: str, languages: Languages) -> tuple[str, float, float, float,
     items = Counter(names)
     # a unit is a clause, or eight words where clauses are longer
     units = max(sum(map(bool, lowered)), many / 8)
-    levels = {p: bisect_right(LEVELS, n / units) for p, n in phrases.items() if n >= 4}
+    least = LEAST_TIMES if own == "LATIN" else LEAST_TIMES_LEARNT
+    levels = {p: bisect_right(LEVELS, n / units) for p, n in phrases.items() if n >= least}
     cased = own in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
     listed = _list_runs(pieces, lowered, function) if cased else [False] * len(pieces)
     cells: Counter[int] = Counter()
@@ -217,7 +220,7 @@ def profile(text: str, languages: Languages) -> tuple[str, float, float, float,
             sure += size
             continue
         item = phrase = lacking_bin = 0
-        if len(words) <= 4 and items[name] >= 4 and not _DIGIT.search(piece) and (cased or size <= 12 and bare[-1:] not in ".!?。！？।"):
+        if len(words) <= 4 and items[name] >= least and not _DIGIT.search(piece) and (cased or size <= 12 and bare[-1:] not in ".!?。！？।"):
             item = bisect_right(LEVELS, items[name] / units)
         if levels and words[0] not in function:
             phrase, lacking_bin = _covered(piece, words, function, levels, size)
@@ -238,7 +241,7 @@ def _covered(piece: str, words: list[str], function: frozenset[str], levels: dic
     inside: set[int] = set()
     reached = 0
     for level, i, j in spans:
-        if level < reached:
+        if level < reached - 6:  # phrases a third as frequent still excuse the function words they hold
             break
         inside.update(range(i, j + 1))
         if not reached and len(inside) >= 0.3 * len(words):
