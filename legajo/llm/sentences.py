@@ -40,11 +40,12 @@ from legajo.llm.confusables import visible_form
 
 #: Bounds of the sample that the model is fitted on: texts, and characters of a text that may be in it.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
-#: Steps of the fit, the weight of its penalty, and the least occurrences of a feature with a weight of its own.
-STEPS, PENALTY, LEAST_SEEN = 120, 0.8, 3
+#: Steps of the fit, the weights of its penalty on features of single words and on those of marks, classes and distances, and the least
+#: occurrences of a feature with a weight of its own.
+STEPS, PENALTY, PENALTY_SHARED, LEAST_SEEN = 120, 1.0, 0.15, 3
 #: Part of a script's usual rate of line breaks that a boundary is taken to have, for marks (0) and for blanks (1): languages and kinds of text
 #: differ in their rates, and a rate too high would take the boundaries of texts with few line breaks for none.
-RATE_PART = {"0": 0.45, "1": 0.5}
+RATE_PART = {"0": 0.3, "1": 0.5}
 #: Below this share of paragraphs that end in a mark a script counts as unmarked.
 MARKED_SHARE = 0.5
 
@@ -319,6 +320,7 @@ def fit_chains(chains: list[Chain], steps: int = STEPS, use_transitions: bool =
     double = double[np.argsort(-double[:, 1], kind="stable")]
     kinds2, buckets2 = np.r_[kinds, kinds], np.r_[buckets, buckets]
     weights = np.zeros(len(names) + 1)
+    penalty = np.array([0.0, *(PENALTY if f[0] in "wpnLR" else PENALTY_SHARED for f in names)])
     for name, start in (("stop", 1.0), ("gap", 0.0)):
         if name in index:
             weights[index[name]] = start
@@ -331,12 +333,12 @@ def fit_chains(chains: list[Chain], steps: int = STEPS, use_transitions: bool =
         score[: len(rows)] += seen
         marginal, pairs = _lattice(score, arcs, kinds2, buckets2, double)
         pull = marginal[: len(rows)] - marginal[len(rows) :]
-        grad = np.bincount(flat, np.repeat(pull, width), len(weights)) - PENALTY * weights
+        grad = np.bincount(flat, np.repeat(pull, width), len(weights)) - penalty * weights
         grad[0] = 0
         slope = np.zeros_like(arcs)
         if use_transitions:
             gained = (pairs[: len(rows)] - pairs[len(rows) :]).reshape(len(rows), 4)
-            slope = np.stack([np.bincount(cell, gained[:, i], 2 * _BUCKETS) for i in range(4)], axis=1).reshape(arcs.shape) - PENALTY * arcs
+            slope = np.stack([np.bincount(cell, gained[:, i], 2 * _BUCKETS) for i in range(4)], axis=1).reshape(arcs.shape) - PENALTY_SHARED * arcs
         for value, g, m, v in ((weights, grad, moments[0], moments[1]), (arcs, slope, moments[2], moments[3])):
             m *= 0.9
             m += 0.1 * g
