@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.canonical import canonical_digest
-from legajo.functions.session import cut, table
-from legajo.operators import graphs, lineage
+from legajo.functions.session import cut, ensure_checkpoint_dir, table
+from legajo.operators import graphs, lineage, transport
 from legajo.operators.hierarchy import dependency_edges
 from legajo.plans.frames import _EDGES, _nation_edges
 from legajo.plans.problems import _KEY
@@ -80,7 +84,61 @@ def h5_salted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "aggregation_artifact").select("record_id", canonical_digest(F.col("payload"), salt="legajo").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (g4_closeness, g10_effect, g11_counterfactual, h12_topological_layers, h12_layers, g19_topological_order, g19_back_edges, h9_verified_proofs, t15_canonical_ids, h5_salted_digests)}
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of each region: groups of a handful of rows."""
+    return table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").where("n_nationkey is not null and n_regionkey is not null")
+
+
+def o2_sinkhorn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mass moved between the nations of a region and as many even places, at least cost of distance, with the error of its margins."""
+
+    def move(pdf):  # noqa: ANN001, ANN202
+        n = len(pdf)
+        keys = np.sort(pdf["n_nationkey"].to_numpy(dtype=float)) / 25
+        even = (np.arange(n) + 0.5) / n
+        plan = transport.sinkhorn(np.abs(keys[:, None] - even[None]), np.full(n, 1 / n), np.full(n, 1 / n))
+        return pd.DataFrame({"region": [int(pdf["n_regionkey"].iloc[0])], "mass": [round(float(plan.sum()), 6)], "error": [round(float(np.abs(plan.sum(1) - 1 / n).max()), 6)]})
+
+    return _regions(spark, sf_dir).groupBy("n_regionkey").applyInPandas(move, "region int, mass double, error double")
+
+
+def o6_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost of the entropic alignment of each region's distances with even ones, its entropy term and the bound on what the entropy costs."""
+    reg = 0.01
+
+    def align(pdf):  # noqa: ANN001, ANN202
+        n = len(pdf)
+        keys = np.sort(pdf["n_nationkey"].to_numpy(dtype=float))
+        own, base = np.abs(keys[:, None] - keys[None]) / 25, np.abs(np.arange(n)[:, None] - np.arange(n)[None]) / n
+        plan, cost = transport.gromov_wasserstein(own, base, np.full(n, 1 / n), np.full(n, 1 / n), reg)
+        return pd.DataFrame({"region": [int(pdf["n_regionkey"].iloc[0])], "cost": [round(cost, 5)], "objective": [round(cost + reg * transport.plan_entropy(plan), 5)], "bound": [round(transport.entropic_bound(reg, n), 6)]})
+
+    return _regions(spark, sf_dir).groupBy("n_regionkey").applyInPandas(align, "region int, cost double, objective double, bound double")
+
+
+def o6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations of each region matched with those of region 0 by the letters of their names at least cost; even keys are one kind, odd ones another."""
+    first = [(int(r.n_nationkey), set(r.n_name)) for r in _regions(spark, sf_dir).where("n_regionkey = 0").orderBy("n_nationkey").collect()]  # a handful
+
+    def match(pdf):  # noqa: ANN001, ANN202
+        own = sorted(zip(pdf["n_nationkey"].astype(int), map(set, pdf["n_name"])), key=lambda r: r[0])
+        costs = transport.jaccard_costs([w for _, w in own], [w for _, w in first], ([k % 2 for k, _ in own], [k % 2 for k, _ in first]))
+        pairs = transport.assign(costs) if first else []
+        return pd.DataFrame({"nation": [own[i][0] for i, _ in pairs], "partner": [first[j][0] for _, j in pairs], "cost": [round(float(costs[i, j]), 6) for i, j in pairs]})
+
+    return _regions(spark, sf_dir).groupBy("n_regionkey").applyInPandas(match, "nation int, partner int, cost double")
+
+
+def s11_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written as JSON lines and read back: size and sum of each."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label").write.json(path)
+    stored = spark.read.schema("vec_id bigint, embedding array<double>, label int").json(path)
+    return stored.select("vec_id", "label", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (g4_closeness, g10_effect, g11_counterfactual, h12_topological_layers, h12_layers, g19_topological_order, g19_back_edges, h9_verified_proofs, t15_canonical_ids, h5_salted_digests, o2_sinkhorn, o6_alignment, o6_assignment, s11_vector_index)}
 
 _DEPENDENCIES = f"""c AS (SELECT code, unnest(dependencies) AS entry FROM pipeline_index WHERE code IS NOT NULL), k AS (SELECT {_KEY.format("code")} AS key, min(code) AS target FROM pipeline_index WHERE code IS NOT NULL GROUP BY 1),
     d AS (SELECT DISTINCT target AS a, code AS b FROM c JOIN k ON {_KEY.format("entry")} = key WHERE key <> '')"""
@@ -96,5 +154,7 @@ ORACLES = {
     "h12_layers": f"WITH RECURSIVE {_LAYERED} SELECT layer, count(*) AS n FROM o GROUP BY layer",
     "g19_topological_order": f"WITH RECURSIVE {_LAYERED} SELECT node, layer, row_number() OVER (PARTITION BY layer ORDER BY node) AS place FROM o WHERE layer >= 0",
     "g19_back_edges": f"WITH {_DEPENDENCIES}, f AS (SELECT code, min(generated_at) AS at FROM pipeline_index GROUP BY code) SELECT a, b FROM d JOIN f x ON x.code = a JOIN f y ON y.code = b WHERE x.at > y.at",
+    "s11_vector_index": "SELECT vec_id, label, len(embedding)::INTEGER AS dims, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
+    "o2_sinkhorn": "SELECT n_regionkey AS region, 1.0::DOUBLE AS mass, 0.0::DOUBLE AS error FROM nation GROUP BY n_regionkey",
     "h9_verified_proofs": "SELECT c_custkey - min(c_custkey) OVER () AS leaf, true AS holds FROM customer",
 }

@@ -1,10 +1,13 @@
 import random
+from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from legajo.functions.canonical import canonical_json
 from legajo.functions.session import ensure_checkpoint_dir
+from legajo.operators import transport
 from legajo.operators.ranks import order_statistics, places
 from legajo.plans import measures
 
@@ -59,3 +62,16 @@ def test_places(spark):
         own = sorted(r[2] for r in rows if r[1] == name)
         assert got[name] == (len(own), own[len(own) // 2], None)
     assert places(df.where("false"), [F.col("v")]).count() == 0
+
+
+def test_assignments_cost_least():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 3), (2, 5), (5, 3), (6, 6)):
+        for costs in (rng.random((n, m)), rng.integers(0, 3, (n, m)).astype(float)):
+            pairs = transport.assign(costs)
+            small, large = min(n, m), max(n, m)
+            view = costs if n <= m else costs.T
+            best = min(sum(view[i, p[i]] for i in range(small)) for p in permutations(range(large), small))
+            assert len(pairs) == small == len({i for i, _ in pairs}) == len({j for _, j in pairs}) and abs(sum(costs[i, j] for i, j in pairs) - best) < 1e-9
+    costs = transport.jaccard_costs([{1, 2}, set()], [{2, 3}, {9}], (["a", "a"], ["a", "b"]))
+    assert costs.tolist() == [[1 - 1 / 3, 10.0], [1.0, 10.0]]
