@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -107,3 +108,64 @@ def submodular_choice(evidence: DataFrame, key: str, group: str, score: str, row
 
     kinds = dict(few.dtypes)
     return packed.mapInArrow(choose, f"{key} {kinds['k']}, {row_id} {kinds['i']}, place int")
+
+
+def greedy_coverage(tasks: list[tuple], budget: float) -> list:
+    """Ids of ``tasks`` (id, covered items, cost, needed ids or none) in the order of choice: the most new items for the cost first, within ``budget``.
+
+    A task waits until all that it needs is chosen, so every prefix of the choice
+    can be carried out and covers no less than the one before.  Gains only fall, so
+    a task whose old gain is best is weighed anew and taken if it stays best.
+    """
+    known = {t[0] for t in tasks}
+    waits = {t[0]: {n for n in t[3] or () if n != t[0]} for t in tasks}
+    followers: dict = {}
+    for name, needs in waits.items():
+        for n in needs:
+            followers.setdefault(n, []).append(name)
+    by_name = {t[0]: t for t in tasks}
+    covered: set = set()
+    chosen: list = []
+    heap = [(-len(set(t[1])) / max(t[2], 1e-9), t[0]) for t in tasks if not waits[t[0]]]
+    heapq.heapify(heap)
+    while heap:
+        promised, name = heapq.heappop(heap)
+        _, items, cost, _ = by_name[name]
+        gain = -len(set(items) - covered) / max(cost, 1e-9)
+        if gain > promised:
+            heapq.heappush(heap, (gain, name))
+            continue
+        if gain == 0 and not followers.get(name) or cost > budget:
+            continue
+        budget -= cost
+        covered |= set(items)
+        chosen.append(name)
+        for other in followers.get(name, ()):
+            waits[other].discard(name)
+            if not waits[other] and other in known:
+                heapq.heappush(heap, (-len(set(by_name[other][1]) - covered) / max(by_name[other][2], 1e-9), other))
+    return chosen
+
+
+def coverage_choice(tasks: DataFrame, key: str, budget: float) -> DataFrame:
+    """(key, task, place) of :func:`greedy_coverage` for the tasks (key, task, covers, cost, needs) of each key.
+
+    A task stands once in a key (of repeated ones the cheapest counts); null
+    costs are taken for 0.  The choice is sequential, so the tasks of one key, the
+    steps of one plan, go to one task.
+    """
+    kinds = dict(tasks.dtypes)
+    row = F.struct("covers", F.coalesce("cost", F.lit(0.0)).cast("double").alias("cost"), "needs")
+    plain = tasks.where("task is not null").groupBy(key, "task").agg(F.min_by(row, F.coalesce("cost", F.lit(0.0))).alias("t")).select(F.col(key).alias("key_"), F.struct("task", "t.*").alias("t"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out: list[list] = [[], [], []]
+            for name, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                picked = greedy_coverage(sorted(((t["task"], t["covers"] or [], t["cost"], t["needs"]) for t in own), key=lambda t: t[0]), budget)
+                out[0] += [name] * len(picked)
+                out[1] += picked
+                out[2] += range(1, len(picked) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], part.schema.field(0).type), pa.array(out[1], part.schema.field(1).type.value_type.field("task").type), pa.array(out[2], pa.int32())], names=[key, "task", "place"])
+
+    return plain.groupBy("key_").agg(F.collect_list("t").alias("tasks")).mapInArrow(choose, f"{key} {kinds[key]}, task {kinds['task']}, place int")

@@ -43,6 +43,7 @@ SHARED = {
     "a54_answer_coverage": f"WITH {_EVIDENCE} SELECT question_id, round(least(1.0, count(*) / 5.0), 6) AS density, round(count(DISTINCT source) / CAST(count(*) AS DOUBLE), 6) AS diversity, round(count(*) / CAST(count(DISTINCT dimension) AS DOUBLE), 6) AS depth, round(count(DISTINCT dimension) / CAST(4 AS DOUBLE), 6) AS breadth FROM evidence GROUP BY question_id",
     "a56_answer_confidence": f"WITH {_EVIDENCE}, c AS (SELECT question_id, greatest(0.0, least(1.0, 0.1 + 0.25 * least(1.0, count(*) / 5.0) + 0.2 * avg(relevance) + 0.15 * (1 - least(1.0, coalesce(var_samp(relevance), 0.0))) + 0.15 * avg(credibility) + 0.1 * avg(authority))) AS c FROM evidence GROUP BY question_id) SELECT question_id, round(c, 6) AS confidence, round(greatest(0.0, c - 0.1), 6) AS low, round(least(1.0, c + 0.1), 6) AS high FROM c",
     "a59_uniqueness": "WITH k AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS made FROM {lineitem}), u AS (SELECT node, made, count(*) OVER (PARTITION BY made) AS makers FROM k) SELECT node, round(count_if(makers = 1) / CAST(count(*) AS DOUBLE), 6) AS uniqueness FROM u GROUP BY node",
+    # every supplier meets each of the 25 nations, which is what a cost matrix is
     "o4_fused_cost": "SELECT s, n, round(0.5 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.5 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) AS cost FROM (SELECT s_suppkey AS s, n_nationkey AS n, CAST(abs(s_nationkey - n_nationkey) AS DOUBLE) AS a, abs(s_acctbal - n_nationkey * 100) AS b FROM {supplier} CROSS JOIN {nation})",
     "stat_p15_leave_one_out": f"WITH {_PAIRS}, l AS (SELECT kind, ((sum(truth) OVER p) - truth) / ((count(*) OVER p) - 1) AS loo, avg(truth) OVER p AS whole FROM pairs WINDOW p AS (PARTITION BY kind)) SELECT kind, round(max(whole) + MEDIAN_AT(loo - whole, 0.05), 9) AS low, round(max(whole) + MEDIAN_AT(loo - whole, 0.95), 9) AS high FROM l GROUP BY kind",
     "stat_p16_certificates": f"WITH {_PAIRS} SELECT kind, CAST(count(*) AS BIGINT) AS n, round(avg(abs(truth - predicted)), 6) AS risk, avg(abs(truth - predicted)) + sqrt(ln(20) / (2 * count(*))) <= 0.5 AS valid FROM pairs GROUP BY kind",

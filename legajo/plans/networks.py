@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions.canonical import canonical_digest
 from legajo.functions.session import cut, ensure_checkpoint_dir, table
-from legajo.operators import graphs, lineage, transport
+from legajo.operators import folds, graphs, lineage, transport
 from legajo.operators.hierarchy import dependency_edges
 from legajo.plans.frames import _EDGES, _nation_edges
 from legajo.plans.problems import _KEY
@@ -138,7 +138,16 @@ def s11_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("vec_id", "label", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (g4_closeness, g10_effect, g11_counterfactual, h12_topological_layers, h12_layers, g19_topological_order, g19_back_edges, h9_verified_proofs, t15_canonical_ids, h5_salted_digests, o2_sinkhorn, o6_alignment, o6_assignment, s11_vector_index)}
+def h10_coverage_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the items of each order those that cover most within a budget; large items need the order's first one."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("task"), "l_quantity", F.array("l_returnflag", "l_linestatus", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("covers"))
+    first = items.groupBy("l_orderkey").agg(F.min("task").alias("first"))
+    needs = F.when((F.col("l_quantity") > 40) & (F.col("task") != F.col("first")), F.array("first"))
+    tasks = items.join(first, "l_orderkey").select("l_orderkey", "task", "covers", F.col("l_quantity").alias("cost"), needs.alias("needs"))
+    return folds.coverage_choice(tasks, "l_orderkey", 100.0)
+
+
+QUERIES = {f.__name__: f for f in (g4_closeness, g10_effect, g11_counterfactual, h12_topological_layers, h12_layers, g19_topological_order, g19_back_edges, h9_verified_proofs, t15_canonical_ids, h5_salted_digests, o2_sinkhorn, o6_alignment, o6_assignment, s11_vector_index, h10_coverage_choice)}
 
 _DEPENDENCIES = f"""c AS (SELECT code, unnest(dependencies) AS entry FROM pipeline_index WHERE code IS NOT NULL), k AS (SELECT {_KEY.format("code")} AS key, min(code) AS target FROM pipeline_index WHERE code IS NOT NULL GROUP BY 1),
     d AS (SELECT DISTINCT target AS a, code AS b FROM c JOIN k ON {_KEY.format("entry")} = key WHERE key <> '')"""

@@ -4,6 +4,7 @@ import pytest
 
 from legajo.functions.expressions import column_of
 from legajo.operators import folds
+from legajo.operators.folds import coverage_choice, greedy_coverage
 from legajo.operators.vectors import cell_search, maximum_mean_discrepancy, top_similar
 
 
@@ -68,3 +69,29 @@ def test_discrepancy_tells_shifted_groups(spark):
     moved = spark.createDataFrame([(i % 2 == 0, rng.gauss(2 * (i % 2), 1)) for i in range(2000)], "g boolean, v double")
     near, far = (maximum_mean_discrepancy(d, "g", "v").collect()[0].mmd2 for d in (same, moved))
     assert near < 0.02 < 0.2 < far
+
+
+def test_coverage_choice_is_greedy(spark):
+    """Lazily weighed gains choose what weighing all tasks in every round does."""
+    rng = random.Random(8)
+
+    def plain(tasks, budget):
+        chosen, covered = [], set()
+        while True:
+            open_ = [t for t in tasks if t[0] not in chosen and t[2] <= budget and all(n in chosen for n in t[3] or ())]
+            needed = {n for t in tasks for n in t[3] or ()}
+            open_ = [t for t in open_ if set(t[1]) - covered or t[0] in needed]
+            if not open_:
+                return chosen
+            best = min(open_, key=lambda t: (-len(set(t[1]) - covered) / t[2], t[0]))
+            chosen.append(best[0])
+            covered |= set(best[1])
+            budget -= best[2]
+
+    for _ in range(60):
+        tasks = [(i, rng.sample("abcdefgh", rng.randint(0, 4)), rng.choice([1.0, 2.0, 3.0]), rng.choice([None, None, [rng.randrange(i)] if i else None, [99]])) for i in range(8)]
+        assert greedy_coverage(tasks, 7.0) == plain(tasks, 7.0)
+    rows = [("k", 1, ["a"], 1.0, None), ("k", 1, ["a"], 2.0, None), ("k", 2, ["a", "b"], None, [1]), ("k", None, ["z"], 1.0, None), (None, 3, None, 1.0, None), ("j", 4, ["x"], 50.0, None)]
+    df = spark.createDataFrame(rows, "key string, task int, covers array<string>, cost double, needs array<int>")
+    assert sorted((r.key, r.task, r.place) for r in coverage_choice(df, "key", 10.0).collect()) == [("k", 1, 1), ("k", 2, 2)]
+    assert coverage_choice(df.where("false"), "key", 10.0).count() == 0
