@@ -261,37 +261,31 @@ def _break_rates(chains: list[Chain]) -> dict[str, float]:
     return rates
 
 
-def _lattice(scores: np.ndarray, transitions: np.ndarray, kinds: np.ndarray, buckets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marginals of a boundary, of each pair of tags) at the places of chains given longest first.
+def _lattice(scores: np.ndarray, transitions: np.ndarray, kinds: np.ndarray, buckets: np.ndarray, active: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals of a boundary, of each pair of tags) for every run of ``scores`` (place, run, tag), by forward and backward passes.
 
-    ``scores`` has a column for each tag; ``spans`` are (start, length) of the chains.
+    Places are in order of their number within the chain, chains with the longest
+    first, so that what follows the first places of ``active[t]`` chains are the
+    first of the next slice.  Each pass is scaled to sum to one at each place.
     """
-    starts, lengths = spans[:, 0], spans[:, 1]
-    longest = int(lengths[0])
-    active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(longest + 1)]  # chains longer than t
-    forward, backward = np.zeros_like(scores), np.zeros_like(scores)
-    steps = transitions[kinds, buckets]  # place, tag before, tag
-    at = starts
-    forward[at] = scores[at] + steps[at, 1]  # a text's beginning counts as a boundary before it
-    for t in range(1, longest):
-        at = starts[: active[t]] + t
-        pairs = forward[at - 1][:, :, None] + steps[at]
-        forward[at] = scores[at] + np.logaddexp(pairs[:, 0], pairs[:, 1])
-    for t in range(longest - 1, 0, -1):
-        at = starts[: active[t]] + t
-        pairs = steps[at] + (scores[at] + backward[at])[:, None, :]
-        backward[at - 1] = np.logaddexp(pairs[:, :, 0], pairs[:, :, 1])
-    ends = starts + lengths - 1
-    totals = np.logaddexp(forward[ends, 0], forward[ends, 1])
-    owner = np.empty(len(scores))
-    owner[np.repeat(starts - np.r_[0, lengths.cumsum()[:-1]], lengths) + np.arange(len(scores))] = np.repeat(totals, lengths)
-    marginal = np.exp(forward[:, 1] + backward[:, 1] - owner)
-    before = np.full_like(scores, -np.inf)
-    inner = np.ones(len(scores), bool)
-    inner[starts] = False
-    before[inner] = forward[np.flatnonzero(inner) - 1]
-    before[starts, 1] = 0.0
-    return marginal, np.exp(before[:, :, None] + steps + (scores + backward)[:, None, :] - owner[:, None, None])
+    emit = np.exp(scores - scores.max(axis=2, keepdims=True))
+    steps = np.exp(transitions)[kinds, buckets][:, None]  # place, run, tag before, tag
+    offsets = np.r_[0, np.cumsum(active)]
+    before = np.zeros_like(emit)
+    backward = np.full_like(emit, 0.5)
+    before[: active[0], :, 1] = 1.0  # a text's beginning counts as a boundary before it
+    for t in range(len(active) - 1):
+        own, nxt = slice(offsets[t], offsets[t] + active[t + 1]), slice(offsets[t + 1], offsets[t + 2])
+        f = (before[own, :, 0, None] * steps[own, :, 0] + before[own, :, 1, None] * steps[own, :, 1]) * emit[own]
+        before[nxt] = f / f.sum(axis=2, keepdims=True)
+    for t in range(len(active) - 2, -1, -1):
+        own, nxt = slice(offsets[t], offsets[t] + active[t + 1]), slice(offsets[t + 1], offsets[t + 2])
+        g = emit[nxt] * backward[nxt]
+        h = steps[nxt, :, :, 0] * g[:, :, None, 0] + steps[nxt, :, :, 1] * g[:, :, None, 1]
+        backward[own] = h / h.sum(axis=2, keepdims=True)
+    paired = before[:, :, :, None] * steps * (emit * backward)[:, :, None, :]
+    paired /= paired.sum(axis=(2, 3), keepdims=True)
+    return paired[:, :, :, 1].sum(axis=2), paired
 
 
 def fit_chains(chains: list[Chain], steps: int = STEPS, use_transitions: bool = True) -> tuple[dict[str, float], np.ndarray]:
@@ -303,22 +297,20 @@ def fit_chains(chains: list[Chain], steps: int = STEPS, use_transitions: bool =
         return {}, np.zeros((2, _BUCKETS, 2, 2))
     index = {f: i + 1 for i, f in enumerate(names)}
     width = max(len(found) for c in chains for found in c.features)
-    rows = [found for c in chains for found in c.features]
-    matrix = np.zeros((len(rows), width), np.int32)
-    for i, found in enumerate(rows):
-        own = [index[f] for f in found if f in index]
+    longest = len(chains[0].kinds)
+    active = [sum(1 for c in chains if len(c.kinds) > t) for t in range(longest)]
+    places = [(c, t) for t in range(longest) for c in chains[: active[t]]]
+    matrix = np.zeros((len(places), width), np.int32)
+    for i, (c, t) in enumerate(places):
+        own = [index[f] for f in c.features[t] if f in index]
         matrix[i, : len(own)] = own
-    kinds, buckets = (np.array([v for c in chains for v in getattr(c, name)]) for name in ("kinds", "buckets"))
-    broken = np.array([v for c in chains for v in c.broken])
-    lengths = np.array([len(c.kinds) for c in chains])
-    spans = np.stack([np.r_[0, lengths.cumsum()[:-1]], lengths], axis=1)
+    matrix, alike = np.unique(matrix, axis=0, return_inverse=True)  # places with the same features are weighed once
+    alike = alike.ravel()
+    kinds, buckets, broken = (np.array([getattr(c, name)[t] for c, t in places]) for name in ("kinds", "buckets", "broken"))
     rates = _break_rates(chains)
-    rate = np.array([rates[v] for c in chains for v in c.scripts])
+    rate = np.array([rates[c.scripts[t]] for c, t in places])
     # what is seen of a place, given its tag: a line break only at boundaries, and there with the rate of the script
     seen = np.stack([np.where(broken, -30.0, 0.0), np.where(broken, np.log(rate), np.log1p(-rate))], axis=1)
-    double = np.concatenate([spans, spans + np.array([len(rows), 0])])
-    double = double[np.argsort(-double[:, 1], kind="stable")]
-    kinds2, buckets2 = np.r_[kinds, kinds], np.r_[buckets, buckets]
     weights = np.zeros(len(names) + 1)
     penalty = np.array([0.0, *(PENALTY if f[0] in "wpnLR" else PENALTY_SHARED for f in names)])
     for name, start in (("stop", 1.0), ("gap", 0.0)):
@@ -328,16 +320,17 @@ def fit_chains(chains: list[Chain], steps: int = STEPS, use_transitions: bool =
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(arcs), np.zeros_like(arcs)]
     flat, cell = matrix.ravel(), kinds * _BUCKETS + buckets
     for step in range(1, steps + 1):
-        score = np.zeros((2 * len(rows), 2))
-        score[:, 1] = np.tile(weights[matrix].sum(axis=1), 2)
-        score[: len(rows)] += seen
-        marginal, pairs = _lattice(score, arcs, kinds2, buckets2, double)
-        pull = marginal[: len(rows)] - marginal[len(rows) :]
+        # two runs: with what is seen, and without
+        score = np.zeros((len(places), 2, 2))
+        score[:, :, 1] = weights[matrix].sum(axis=1)[alike, None]
+        score[:, 0] += seen
+        marginal, pairs = _lattice(score, arcs, kinds, buckets, active)
+        pull = np.bincount(alike, marginal[:, 0] - marginal[:, 1], len(matrix))
         grad = np.bincount(flat, np.repeat(pull, width), len(weights)) - penalty * weights
         grad[0] = 0
         slope = np.zeros_like(arcs)
         if use_transitions:
-            gained = (pairs[: len(rows)] - pairs[len(rows) :]).reshape(len(rows), 4)
+            gained = (pairs[:, 0] - pairs[:, 1]).reshape(len(places), 4)
             slope = np.stack([np.bincount(cell, gained[:, i], 2 * _BUCKETS) for i in range(4)], axis=1).reshape(arcs.shape) - PENALTY_SHARED * arcs
         for value, g, m, v in ((weights, grad, moments[0], moments[1]), (arcs, slope, moments[2], moments[3])):
             m *= 0.9
