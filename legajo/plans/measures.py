@@ -18,6 +18,9 @@ from legajo.operators.lineage import broken_links
 from legajo.operators.ranks import order_statistics, places
 from legajo.operators.vectors import top_similar
 
+#: The words of the flagship query.
+QUERY_WORDS = "agua plan derechos mesa víctimas".split()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -352,6 +355,55 @@ def r19_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(terms, "vec_id").join(own, "query_id").where("term <> own").groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("expansion"))
 
 
+#: Distinct words of all queries up to which they are sought within the arrays of words; beyond, by a join.
+FILTER_WORDS = 2000
+
+
+def bm25(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, words, doc_id, held, score): BM25 of the texts (doc_id, text) that hold a word of a query (query, word, words).
+
+    Texts are cut into words once; a text's length is their number, and only
+    words that are asked for are counted and shuffled.
+    """
+    tokens = documents.select("doc_id", words("text").alias("w")).where("size(w) > 0").select("doc_id", F.size("w").alias("dl"), "w")
+    wanted = [r.word for r in asked.select("word").distinct().limit(FILTER_WORDS + 1).collect()]
+    if len(wanted) <= FILTER_WORDS:  # few words: left in the array before it is taken apart
+        met = tokens.select("doc_id", "dl", F.explode_outer(F.filter("w", lambda x: x.isin(wanted))).alias("word"))
+    else:
+        known = asked.select(F.col("word").alias("asked_word")).distinct()
+        met = tokens.select("doc_id", "dl", F.explode("w").alias("w")).join(known, F.col("w") == F.col("asked_word"), "left").select("doc_id", "dl", F.col("asked_word").alias("word"))
+    # one pass: a row for each word asked for, and one of no word for each text's length
+    counted = cut_table(met.groupBy("doc_id", "dl", "word").agg(F.count("*").alias("tf")))
+    sized = counted.select("doc_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    hits = counted.where("word is not null")
+    known = hits.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("mean")))
+    joined = hits.join(known, "word").join(asked, "word").crossJoin(F.broadcast(sized))  # sized is one row
+    return joined.groupBy("query", "words", "doc_id").agg(F.count("*").alias("held"), F.round(1e-9 + F.sum(part), 6).alias("score"))
+
+
+def _lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "keyword_lexicon").select("kw_id", F.array_distinct(words("keyword")).alias("w")).where("size(w) > 0")
+    asked = wanted.select(F.col("kw_id").alias("query"), F.size("w").alias("words"), F.explode("w").alias("word"))
+    return bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked).withColumnRenamed("query", "kw_id")
+
+
+@query()
+def r23_batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best texts for each keyword of the lexicon; its twin is the SQL text of the other module."""
+    ranked = _lexicon_scores(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("kw_id").orderBy(F.desc("score"), "doc_id")).cast("bigint"))
+    return ranked.where("place <= 10").select("kw_id", "doc_id", "score", "place")
+
+
+@query()
+def r1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best texts for the flagship query; its twin is the SQL text of the other module."""
+    asked = spark.createDataFrame([(0, w, len(QUERY_WORDS)) for w in QUERY_WORDS], "query int, word string, words int")
+    scored = bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
+    return scored.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
+
+
 @query(r"""
     WITH t AS (SELECT doc_id, w, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents) GROUP BY ALL), d AS (SELECT doc_id, sum(tf) AS dl FROM t GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS mean FROM d),
     k AS (SELECT kw_id, unnest(list_distinct(regexp_extract_all(lower(keyword), '[\p{L}\p{N}_]+'))) AS w FROM keyword_lexicon), f AS (SELECT w, count(*) AS df FROM t GROUP BY w), z AS (SELECT kw_id, count(*) AS words FROM k GROUP BY kw_id),
@@ -362,17 +414,7 @@ def r19_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM r JOIN i ON j = least(10, known) WHERE known > 0 GROUP BY kw_id""")
 def r33_ndcg_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NDCG and recall of the keyword rankings; a text is relevant that holds all words of the keyword. Keywords without a relevant text are left out."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")).where("size(w) > 0")
-    wanted = table(spark, sf_dir, "keyword_lexicon").select("kw_id", F.array_distinct(words("keyword")).alias("w")).where("size(w) > 0")
-    asked = wanted.select("kw_id", F.size("w").alias("words"), F.explode("w").alias("word"))
-    sized = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    hits = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("word")).join(asked.select("word").distinct(), "word").groupBy("word", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    hits = cut_table(hits)
-    known = hits.groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("mean")))
-    scored = hits.join(known, "word").join(asked, "word").crossJoin(F.broadcast(sized)).groupBy("kw_id", "words", "doc_id").agg(F.count("*").alias("held"), F.round(F.sum(part), 6).alias("score"))  # sized is one row
-    relevant = cut_table(scored.withColumn("rel", (F.col("held") == F.col("words")).cast("int")))
+    relevant = cut_table(_lexicon_scores(spark, sf_dir).withColumn("rel", (F.col("held") == F.col("words")).cast("int")))
     totals = relevant.groupBy("kw_id").agg(F.sum("rel").alias("known")).where("known > 0")
     ranked = relevant.withColumn("place", F.row_number().over(Window.partitionBy("kw_id").orderBy(F.desc("score"), "doc_id"))).where("place <= 100")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.max("known")).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))

@@ -75,3 +75,12 @@ def test_assignments_cost_least():
             assert len(pairs) == small == len({i for i, _ in pairs}) == len({j for _, j in pairs}) and abs(sum(costs[i, j] for i, j in pairs) - best) < 1e-9
     costs = transport.jaccard_costs([{1, 2}, set()], [{2, 3}, {9}], (["a", "a"], ["a", "b"]))
     assert costs.tolist() == [[1 - 1 / 3, 10.0], [1.0, 10.0]]
+
+
+def test_words_by_filter_or_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "agua y plan de agua"), (2, "plan"), (3, ""), (4, None), (5, "nada de eso")], "doc_id int, text string")
+    asked = spark.createDataFrame([(0, "agua", 2), (0, "plan", 2), (7, "plan", 1)], "query int, word string, words int")
+    few = {tuple(r) for r in measures.bm25(docs, asked).collect()}
+    monkeypatch.setattr(measures, "FILTER_WORDS", 1)
+    assert few == {tuple(r) for r in measures.bm25(docs, asked).collect()} and {(r[0], r[2], r[3]) for r in few} == {(0, 1, 2), (0, 2, 1), (7, 1, 1), (7, 2, 1)}
+    assert measures.bm25(docs.where("false"), asked).count() == 0
