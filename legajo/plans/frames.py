@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.functions.session import cut, ensure_checkpoint_dir, table
+from legajo.functions.session import cut, cut_table, ensure_checkpoint_dir, table
 from legajo.functions.expressions import column_of
 from legajo.operators import chunking, folds, graphs, lineage, transport
 from legajo.operators.learning import adaptive_scores
@@ -172,7 +172,7 @@ def e14_nested_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _class_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    classes = cut(copy_classes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    classes = cut_table(copy_classes(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return classes, similar_pairs(classes.where("doc_id = class_id").select(F.col("class_id").alias("id"), "words"))
 
 

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from legajo.operators import similar
 from legajo.operators.similar import copy_classes, removed_copies, similar_pairs
 
 
@@ -41,3 +44,36 @@ def test_near_copies_match_a_plain_pass_from_the_longest_on(spark):
     near = similar_pairs(found.where("doc_id = class_id").selectExpr("class_id AS id", "words")).cache()
     assert {(r.id_a, r.id_b): r.jaccard for r in near.collect()} == pairs and pairs
     assert {(r.doc_id, r.class_id, r.keeper) for r in removed_copies(found, near).collect()} == want
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """Of what is materialised, the plans, where Spark takes every table for small enough to broadcast."""
+    seen = []
+    for name in ("cut", "cut_table"):
+        if plain := getattr(similar, name, None):
+            monkeypatch.setattr(similar, name, lambda df, plain=plain: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8g")
+    yield seen
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+_TEXTS = [(i, " ".join(f"w{(i // 2) * 1000 + j}" for j in range(30 + i % 2))) for i in range(40)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _broadcast(plans):
+    return [line for plan in plans for line in plan.split("\n") if "BroadcastHashJoin" in line and "Inner" in line]
+
+
+def test_no_texts_are_broadcast(spark, plans, tmp_path):
+    """Whatever sizes Spark expects: compressed texts are far larger once they are in memory."""
+    spark.createDataFrame(_TEXTS, "k bigint, t string").write.parquet(f"{tmp_path}/docs")
+    classes = copy_classes(spark.read.parquet(f"{tmp_path}/docs"), "k", "t")
+    near = similar_pairs(classes.where("doc_id = class_id").selectExpr("class_id AS id", "words"))
+    assert near.count() == 20
+    assert len(plans) > 2 and not _broadcast([*plans, _plan(classes), _plan(near)])
