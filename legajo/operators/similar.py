@@ -153,7 +153,7 @@ def removed_copies(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     long with a smaller id); ``keeper`` is the first such.  A round keeps the
     classes without an open class before them and drops those similar to them.
     """
-    order = classes.where("doc_id = class_id").select(F.col("class_id").alias("id"), F.struct(-F.col("chars"), F.col("class_id")).alias("place"))
+    order = classes.where("doc_id = class_id").select(F.col("class_id").alias("id"), F.struct(-F.col("chars"), F.col("class_id")).alias("place")).hint("merge")
     placed = pairs.join(order.select(F.col("id").alias("id_a"), F.col("place").alias("p_a")), "id_a").join(order.select(F.col("id").alias("id_b"), F.col("place").alias("p_b")), "id_b")
     first = F.col("p_a") < F.col("p_b")
     edges = cut(placed.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late"), F.least("p_a", "p_b").alias("place"), "jaccard"))
@@ -171,5 +171,5 @@ def removed_copies(classes: DataFrame, pairs: DataFrame) -> DataFrame:
         open_ = cut(left)
     dropped = edges.join(cut(kept).withColumnRenamed("id", "early"), "early", "left_semi").join(out.withColumnRenamed("id", "late"), "late", "left_semi")
     best = dropped.groupBy(F.col("late").alias("class_id")).agg(F.min_by(F.struct("early", "jaccard"), "place").alias("k"))
-    found = classes.join(best, "class_id", "left").where("k is not null or doc_id <> class_id")
+    found = classes.join(best.hint("merge"), "class_id", "left").where("k is not null or doc_id <> class_id")
     return found.select("doc_id", "class_id", F.coalesce("k.early", "class_id").alias("keeper"), F.coalesce("k.jaccard", F.lit(1.0)).alias("jaccard"))

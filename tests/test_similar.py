@@ -77,3 +77,13 @@ def test_no_texts_are_broadcast(spark, plans, tmp_path):
     near = similar_pairs(classes.where("doc_id = class_id").selectExpr("class_id AS id", "words"))
     assert near.count() == 20
     assert len(plans) > 2 and not _broadcast([*plans, _plan(classes), _plan(near)])
+
+
+def test_a_pass_from_the_longest_on_broadcasts_no_list_of_classes(spark, plans, tmp_path):
+    spark.createDataFrame([*_TEXTS, (100, _TEXTS[0][1])], "k bigint, t string").write.parquet(f"{tmp_path}/docs")
+    found = similar.cut_table(copy_classes(spark.read.parquet(f"{tmp_path}/docs"), "k", "t"))
+    pairs = similar.cut_table(similar_pairs(found.where("doc_id = class_id").selectExpr("class_id AS id", "words")))
+    del plans[:]
+    left_out = removed_copies(found, pairs)
+    assert not _broadcast(plans[:1]) and not [line for line in _plan(left_out).split("\n") if "BroadcastHashJoin" in line and "LeftOuter" in line]
+    assert {(r.doc_id, r.keeper) for r in left_out.collect()} == {(i, i + 1) for i in range(0, 40, 2)} | {(100, 1)}
