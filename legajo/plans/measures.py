@@ -212,27 +212,60 @@ def t21_bigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _question_pairs(spark, sf_dir).select("id_a", "id_b", F.round(_jaccard(kept("a"), kept("b")), 6).alias("jaccard"), F.round(_jaccard(_couples(F.col("a")), _couples(F.col("b"))), 6).alias("bigrams"))
 
 
+#: Pairs of texts whose scores a join may broadcast.
+BROADCAST_PAIRS = 2_000_000
+#: Parts of the pairs of one question, and tasks for all of them.
+PARTS, TASKS = 8, 96
+
+
 def longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; the row of the usual table is one number, a bit for each place of ``b`` that doesn't add one."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
     for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
 
 
-@query()
-def t21_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lexical(a: str, b: str) -> Column:
     """Half word overlap, three tenths pairs of words, two tenths the longest common subsequence."""
 
     def common(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([2.0 * longest_common(x, y) / (len(x) + len(y)) if x or y else 0.0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
     kept = lambda c: F.filter(c, lambda x: ~x.isin(*[w.strip(" '") for w in _IGNORED.split(",")]))
-    pairs = _question_pairs(spark, sf_dir)
-    score = 0.5 * _jaccard(kept("a"), kept("b")) + 0.3 * _jaccard(_couples(F.col("a")), _couples(F.col("b"))) + 0.2 * F.arrow_udf(common, "double")("a", "b")
-    return pairs.select("id_a", "id_b", F.round(score, 6).alias("similarity"))
+    return F.round(0.5 * _jaccard(kept(a), kept(b)) + 0.3 * _jaccard(_couples(F.col(a)), _couples(F.col(b))) + 0.2 * F.arrow_udf(common, "double")(a, b), 6)
+
+
+def _dealt_pairs(own: DataFrame, text: str) -> DataFrame:
+    """(id_a, id_b, a, b) of the rows (mapping_id, question_id, text) of one question; a question's pairs are dealt to several tasks, however few bytes its rows have."""
+    part = F.pmod(F.xxhash64("mapping_id"), F.lit(PARTS)).cast("int")
+    left = own.select("question_id", part.alias("part"), F.col("mapping_id").alias("id_a"), F.col(text).alias("a")).repartition(TASKS, "question_id", "part")
+    right = own.select("question_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col("mapping_id").alias("id_b"), F.col(text).alias("b")).repartition(TASKS, "question_id", "part")
+    return left.join(right.hint("merge"), ["question_id", "part"]).where("id_a < id_b").select("id_a", "id_b", "a", "b")
+
+
+@query()
+def t21_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half word overlap, three tenths pairs of words, two tenths the longest common subsequence.
+
+    Texts recur under many ids; where there are few, each two of them are scored once.
+    """
+    own = table(spark, sf_dir, "question_mapping").where("question_text is not null").select("mapping_id", "question_id", words("question_text").alias("w"))
+    texts = cut_table(own.select("w").distinct())
+    n = texts.count()
+    if n * (n + 1) // 2 > BROADCAST_PAIRS:
+        return _dealt_pairs(own, "w").select("id_a", "id_b", _lexical("a", "b").alias("similarity"))
+    texts = cut_table(texts.coalesce(1).select("w", F.monotonically_increasing_id().alias("t")))
+    place = F.greatest("a", "b") * (F.greatest("a", "b") + 1) / 2 + F.least("a", "b")
+    each = texts.repartition(TASKS, "t").select(F.col("w").alias("x"), F.col("t").alias("a")).join(F.broadcast(texts.select(F.col("w").alias("y"), F.col("t").alias("b"))), F.col("b") <= F.col("a"))
+    scores = cut_table(each.select(place.cast("bigint").alias("place"), _lexical("x", "y").alias("similarity")))
+    numbered = cut_table(own.join(F.broadcast(texts), "w").select("mapping_id", "question_id", "t"))
+    pairs = _dealt_pairs(numbered, "t").select("id_a", "id_b", place.cast("bigint").alias("place"))
+    return pairs.join(F.broadcast(scores), "place").select("id_a", "id_b", "similarity")
 
 
 _ASKING = "qué cuál cuánto cuánta cómo dónde quién cuándo existe incluye define".split()

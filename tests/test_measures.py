@@ -84,3 +84,24 @@ def test_words_by_filter_or_join(spark, monkeypatch):
     monkeypatch.setattr(measures, "FILTER_WORDS", 1)
     assert few == {tuple(r) for r in measures.bm25(docs, asked).collect()} and {(r[0], r[2], r[3]) for r in few} == {(0, 1, 2), (0, 2, 1), (7, 1, 1), (7, 2, 1)}
     assert measures.bm25(docs.where("false"), asked).count() == 0
+
+
+def test_texts_under_many_ids_are_scored_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("plan de agua la mesa meta".split()) for _ in range(rng.randrange(6))) for _ in range(9)]
+    rows = [(f"M{i:03}", rng.choice("PPPQ"), rng.choice([*texts, None])) for i in range(90)] + [("M900", None, texts[0]), ("M901", None, texts[0])]
+    spark.createDataFrame(rows, "mapping_id string, question_id string, question_text string").write.parquet(f"{tmp_path}/question_mapping.parquet")
+    ignored = {w.strip(" '") for w in measures._IGNORED.split(",")}
+
+    def score(x, y):
+        x, y = x.split(), y.split()
+        share = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+        return 0.5 * share({*x} - ignored, {*y} - ignored) + 0.3 * share({*zip(x, x[1:])}, {*zip(y, y[1:])}) + 0.2 * (2 * _common(x, y) / (len(x) + len(y)) if x or y else 0)
+
+    want = {(i, j): score(x, y) for i, p, x in rows for j, q, y in rows if i < j and p == q and p and x is not None and y is not None}
+    for most in (measures.BROADCAST_PAIRS, 0):
+        monkeypatch.setattr(measures, "BROADCAST_PAIRS", most)
+        found = measures.t21_lexical_similarity(spark, str(tmp_path))
+        got = [((r.id_a, r.id_b), r.similarity) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want, abs=1e-6)
+        assert bool(most) == ("ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString())
